@@ -56,7 +56,7 @@ def last_value(conversation: Column, speaker: str, default: str | None = None) -
     """Value of the speaker's last turn, ``default`` when the speaker has none."""
     said = F.filter(conversation, lambda m: m["from"] == speaker)
     value = F.try_element_at(said, F.lit(-1))["value"]
-    return F.when(F.size(said) > 0, value).otherwise(_column(default))
+    return value if default is None else F.when(F.size(said) > 0, value).otherwise(F.lit(default))
 
 
 def has_speaker(conversation: Column, speaker: str) -> Column:

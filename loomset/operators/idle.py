@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomset.operators.skew import HOT_ROWS, hot_hashes, key_hash
+
 # Fixed value: consecutive idle samples after which a device counts as idle.
 IDLE_LIMIT = 30
 
@@ -22,6 +24,7 @@ def idle_streaks(
     tie: tuple[str, ...] = (),
     limit: int = IDLE_LIMIT,
     initial: str | None = None,
+    hot_rows: int = HOT_ROWS,
     chunk: Column | None = None,
 ) -> DataFrame:
     """Add ``streak``, the number of idle samples in a row up to this one, and ``alert``, true
@@ -30,24 +33,39 @@ def idle_streaks(
     A sample is idle when its utilisation is 0; a missing reading counts as active. ``initial``
     names a column with the streak a device enters with.
 
-    Streaks are counted inside chunks (one hour of one device by default) and completed by what
-    earlier chunks carry over, one small row each, so a device with much of the table is spread
-    over many tasks. ``chunk`` replaces the hour; it must not fall as time goes on.
+    A device is counted in one task, except hot ones: those are cut into chunks of time (one
+    minute by default), counted chunk by chunk and completed by what the chunks before carry
+    over, one small row each. ``chunk`` must not fall as time goes on.
     """
     if chunk is None:
-        chunk = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
-    # Structs compare equal on NULL fields, so samples without a device or time stay in.
-    part = F.struct(F.col(device).alias("of"), chunk.alias("at"))
+        days = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
+        chunk = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
     idle = F.coalesce(F.col(util) == 0, F.lit(False))
+    entered = F.lit(0) if initial is None else F.coalesce(F.col(initial), F.lit(0))
+    kept = [name for name in samples.columns if name != initial]
 
-    inside = Window.partitionBy("_part").orderBy(ts, *tie)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = (
-        samples.withColumn("_part", part)
-        .withColumn("_pos", F.row_number().over(inside))
-        .withColumn("_active", F.max(F.when(~idle, F.col("_pos"))).over(so_far))
-    )
+    def count_inside(df: DataFrame, part: str) -> DataFrame:
+        inside = Window.partitionBy(part).orderBy(ts, *tie)
+        so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("_pos", F.row_number().over(inside)).withColumn(
+            "_active", F.max(F.when(~idle, F.col("_pos"))).over(so_far)
+        )
+
+    def finish(counted: DataFrame, streak: Column) -> DataFrame:
+        own = F.col("_pos") - F.col("_active")
+        return counted.select(
+            *kept, F.coalesce(own, streak).cast("long").alias("streak")
+        ).withColumn("alert", F.col("streak") == limit)
+
+    hot = hot_hashes(samples, [device], hot_rows)
+    if not hot:
+        return finish(count_inside(samples, device), F.col("_pos") + entered)
 
+    # Structs compare equal on NULL fields, so samples without a device or time stay in.
+    fine = F.when(key_hash([device]).isin(hot), chunk)
+    counted = count_inside(
+        samples.withColumn("_part", F.struct(F.col(device).alias("of"), fine.alias("at"))), "_part"
+    )
     earlier = (
         Window.partitionBy("_part.of").orderBy("_part.at").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -58,17 +76,8 @@ def idle_streaks(
         .withColumn("_reached", F.max(F.col("_before") + F.col("last")).over(earlier))
         .select("_part", "_before", "_reached")
     )
-
-    entered = F.lit(0) if initial is None else F.coalesce(F.col(initial), F.lit(0))
     place = F.col("_before") + F.col("_pos")
-    streak = (
-        F.when(F.col("_active").isNotNull(), F.col("_pos") - F.col("_active"))
-        .when(F.col("_reached").isNotNull(), place - F.col("_reached"))
-        .otherwise(place + entered)
-    )
-    kept = [name for name in samples.columns if name != initial]
-    return (
-        counted.join(carried, "_part")
-        .select(*kept, streak.cast("long").alias("streak"))
-        .withColumn("alert", F.col("streak") == limit)
+    return finish(
+        counted.join(carried, "_part"),
+        F.coalesce(place - F.col("_reached"), place + entered),
     )

@@ -49,22 +49,25 @@ def build_pairs(
         )
         return F.when(asked, turns).otherwise(error_pair)
 
-    pairs = df.withColumns(
+    chosen = text.literal_replace(rejected, organization, positive)
+    found = df.withColumns(
         {
             "_asked": chat.has_speaker(said, "human"),
             "_prompt": chat.last_value(said, "human"),
             "_rejected": F.coalesce(F.col("response"), F.lit(MISSING_RESPONSE)),
         }
-    ).select(
+    )
+    if drop_identical:
+        found = found.filter(asked & (chosen != rejected))
+    return found.select(
         *keep,
-        side(text.literal_replace(rejected, organization, positive)).alias("chosen"),
+        side(chosen).alias("chosen"),
         side(rejected).alias("rejected"),
         F.when(~asked, "no_prompt")
         .when(F.col("response").isNull(), "no_response")
         .otherwise("ok")
         .alias("status"),
     )
-    return pairs.filter(F.col("chosen") != F.col("rejected")) if drop_identical else pairs
 
 
 def generate_pairs(

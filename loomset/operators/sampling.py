@@ -10,16 +10,21 @@ and repeated as often as needed.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows a sort in a single task is cheap.
+from loomset.operators.skew import HOT_ROWS, hot_hashes, key_hash
+
+# Up to this many whole rows fit the top-k of a single task.
+TOP_ROWS = 10_000
+
+# Up to this many digests are worth collecting.
 SMALL = 100_000
 
 _HEX_PER_ROUND = 3  # 16**3 counted buckets a round
-_RANGES = 512
 
 
 @dataclass(frozen=True)
@@ -36,16 +41,21 @@ class Cut:
     total: int = 0
 
 
-def take_first(df: DataFrame, n: int | None, order_by: str | list[str], small: int = SMALL) -> DataFrame:
-    """First ``n`` rows in the order of ``order_by``; ``None`` and 0 mean all, below 0 none."""
+def take_first(
+    df: DataFrame, n: int | None, order_by: str | list[str], top_rows: int = TOP_ROWS
+) -> DataFrame:
+    """First ``n`` rows in the order of ``order_by``; ``None`` and 0 mean all, below 0 none.
+
+    Up to ``top_rows`` this is Spark's top-k; a larger take is cut by range counts.
+    """
     if not n:
         return df
     if n < 0:
         return df.limit(0)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    if n <= small:
+    if n <= top_rows:
         return df.orderBy(*order).limit(n)
-    return _take(df, _range_cut(df, n, order, small))
+    return _take(df, _range_cut(df, n, order, top_rows))
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str | list[str] | None = None) -> DataFrame:
@@ -53,9 +63,7 @@ def seeded_sample(df: DataFrame, n: int, seed: int, key: str | list[str] | None
 
     ``key`` names the columns that identify a row; without it whole rows are hashed.
     """
-    if n <= 0:
-        return df.limit(0)
-    return _take(df, _digest_cut(df, n, row_digest(df, seed, key)))
+    return _take(df, _digest_cut(df, lambda total: n, row_digest(df, seed, key)))
 
 
 def assign_split(
@@ -66,14 +74,13 @@ def assign_split(
     column: str = "split",
 ) -> DataFrame:
     """Add a column saying ``train`` or ``test``; a fractional test size is rounded up."""
-    digest = row_digest(df, seed, key)
-    if isinstance(test_size, float):
-        if not 0.0 <= test_size <= 1.0:
-            raise ValueError("a fractional test size lies between 0 and 1")
-        n = math.ceil(test_size * df.count())
-    else:
-        n = test_size
-    cut = _digest_cut(df, n, digest) if n > 0 else Cut(F.lit(False))
+    if isinstance(test_size, float) and not 0.0 <= test_size <= 1.0:
+        raise ValueError("a fractional test size lies between 0 and 1")
+
+    def rows_of(total: int) -> int:
+        return math.ceil(test_size * total) if isinstance(test_size, float) else test_size
+
+    cut = _digest_cut(df, rows_of, row_digest(df, seed, key))
     named = df.withColumn(column, F.when(cut.inside, "test").otherwise("train"))
     if cut.copies is None:
         return named
@@ -93,18 +100,26 @@ def train_test_split(
 
 
 def number_rows(
-    df: DataFrame, group: str, order_by: str, number: str = "idx", block: int = 65_536
+    df: DataFrame,
+    group: str,
+    order_by: str,
+    number: str = "idx",
+    hot_rows: int = HOT_ROWS,
+    block: int = 65_536,
 ) -> DataFrame:
-    """1-based position of each row in its group; ``order_by`` is an integer column.
+    """1-based position of each row in its group; ``order_by`` is an integer, unique in a group.
 
-    A group is counted in blocks of its order value, so that a group holding much of the table
-    is spread over many tasks: rows are ranked inside their block, and the sizes of the blocks
-    before it, one small row each, are added.
+    Groups are ranked in one task each, except hot ones: those are cut into blocks of the order
+    value, ranked block by block, and completed by the sizes of the blocks before, one small
+    row each.
     """
+    hot = hot_hashes(df, [group], hot_rows)
+    if not hot:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(order_by))
+        return df.withColumn(number, place.cast("long"))
+    fine = F.when(key_hash([group]).isin(hot), F.floor(F.col(order_by) / F.lit(block)))
     # Structs compare equal on NULL fields, so rows without a group are numbered as well.
-    blocks = df.withColumn(
-        "_block", F.struct(F.col(group).alias("of"), F.floor(F.col(order_by) / F.lit(block)).alias("at"))
-    )
+    blocks = df.withColumn("_block", F.struct(F.col(group).alias("of"), fine.alias("at")))
     inside = Window.partitionBy("_block").orderBy(order_by)
     earlier = (
         Window.partitionBy("_block.of").orderBy("_block.at").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,11 +168,17 @@ def _repeat(identical: DataFrame, times: int) -> DataFrame:
     return numbers.join(F.broadcast(one), "_one").drop("_one")
 
 
-def _digest_cut(df: DataFrame, n: int, digest: Column) -> Cut:
-    """The first ``n`` rows by digest, ties by the digest of the whole row."""
-    value, before, count = _nth_digest(df, n, digest)
-    if value is None:
+def _digest_cut(df: DataFrame, size: Callable[[int], int], digest: Column) -> Cut:
+    """The first ``size(rows)`` rows by digest, ties by the digest of the whole row."""
+    rows = df.select(digest.alias("d"))
+    buckets = _count_by_digits(rows, "")
+    total = sum(bucket.n for bucket in buckets)
+    n = size(total)
+    if n <= 0:
+        return Cut(F.lit(False))
+    if n >= total:
         return Cut(F.lit(True))
+    value, before, count = _nth_digest(rows, n, buckets)
     if before + count == n:
         return Cut(digest <= value)
     return _cut_among_ties(df, n - before, count, digest < value, digest == value)
@@ -165,39 +186,44 @@ def _digest_cut(df: DataFrame, n: int, digest: Column) -> Cut:
 
 def _cut_among_ties(df: DataFrame, n: int, count: int, sure: Column, tied: Column) -> Cut:
     """``n`` of the ``count`` tied rows, by the digest of the whole row."""
+    if n == count:
+        return Cut(sure | tied)
     content = F.md5(_row_text(df))
-    value, before, same = _nth_digest(df.filter(tied), n, content)
-    below = sure | (tied & (content < value))
+    rows = df.filter(tied).select(content.alias("d"))
+    value, before, same = _nth_digest(rows, n, _count_by_digits(rows, ""))
     if before + same == n:
         return Cut(sure | (tied & (content <= value)))
+    below = sure | (tied & (content < value))
     return Cut(below, tied & (content == value), n - before, same)
 
 
-def _nth_digest(df: DataFrame, n: int, digest: Column) -> tuple[str | None, int, int]:
+def _count_by_digits(rows: DataFrame, prefix: str) -> list[Row]:
+    """Rows per next three hex digits of the digests that start with ``prefix``."""
+    inside = rows.filter(F.col("d").startswith(prefix)) if prefix else rows
+    found = (
+        inside.groupBy(F.substring("d", len(prefix) + 1, _HEX_PER_ROUND).alias("digits"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.xxhash64("d")).alias("low"),
+            F.max(F.xxhash64("d")).alias("high"),
+        )
+        .collect()
+    )
+    return sorted(found, key=lambda row: row.digits)
+
+
+def _nth_digest(rows: DataFrame, n: int, buckets: list[Row]) -> tuple[str, int, int]:
     """The n-th smallest digest, the number of rows below it and the number of rows having it.
 
-    Each round counts rows per next three hex digits (at most 4,096 counts) and goes on inside
-    the bucket that holds the n-th row, until the bucket is small or holds one digest only.
+    Each round looks inside the bucket that holds the n-th row, of at most 4,096 buckets, until
+    that bucket is small or holds one digest only.
     """
     prefix, before = "", 0
-    rows = df.select(digest.alias("d"))
     while True:
-        inside = rows.filter(F.col("d").startswith(prefix)) if prefix else rows
-        found = (
-            inside.groupBy(F.substring("d", len(prefix) + 1, _HEX_PER_ROUND).alias("digits"))
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min(F.xxhash64("d")).alias("low"),
-                F.max(F.xxhash64("d")).alias("high"),
-            )
-            .collect()
-        )
-        for bucket in sorted(found, key=lambda row: row.digits):
+        for bucket in buckets:
             if before + bucket.n >= n:
                 break
             before += bucket.n
-        else:
-            return None, before, 0
         prefix += bucket.digits
         inside = rows.filter(F.col("d").startswith(prefix))
         if bucket.low == bucket.high:
@@ -209,6 +235,7 @@ def _nth_digest(df: DataFrame, n: int, digest: Column) -> tuple[str | None, int,
                 if before + row["count"] >= n:
                     return row.d, before, row["count"]
                 before += row["count"]
+        buckets = _count_by_digits(rows, prefix)
 
 
 def _range_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
@@ -217,6 +244,7 @@ def _range_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
     Each round range-partitions the sort columns alone and collects one count and one upper
     bound per range; the next round looks only into the range where the take ends.
     """
+    pieces = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(order)])
     kind = df.select(place.alias("k")).schema["k"].dataType
     as_text = "struct<" + ",".join(f"{field.name}:string" for field in kind.fields) + ">"
@@ -231,7 +259,7 @@ def _range_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
     while True:
         keys = df.filter(within).select(place.alias("k"))
         ranges = (
-            keys.repartitionByRange(_RANGES, "k")
+            keys.repartitionByRange(pieces, "k")
             .groupBy(F.spark_partition_id().alias("p"))
             .agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("high"), F.min("k").alias("low"))
             .select("p", "n", F.col("high").cast(as_text), F.col("low").cast(as_text))

@@ -1,29 +1,60 @@
-"""Joining a table with hot keys to one row per key."""
+"""Finding hot keys and spreading their rows over many tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is treated as hot when it may hold more than this share of the rows. At most
-# 1 / HOT_SHARE keys can, which bounds both the list below and the rows that get repeated.
-HOT_SHARE = 0.001
+# A key is hot when it holds more than this share of the rows, which at most 1 / HOT_SHARE keys
+# can, and at least this many rows. Any other key is light work for one task.
+HOT_SHARE = 0.0001
+HOT_ROWS = 100_000
 
+_BUCKETS = 65_536
 
-def hot_hashes(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of every key above the share (some below it may be listed too); one pass."""
-    hashed = df.select(_hash(keys).alias("h"))
-    found = hashed.stat.freqItems(["h"], share).first()[0]
-    return [h for h in found if h is not None]
 
+def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """``key_hash`` of every hot key.
 
-def join_hot(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join ``many`` to ``one`` on ``on`` with each hot key spread over many tasks.
+    One pass counts rows per hash bucket, a fixed number of counts whatever the table holds.
+    Only if a bucket is heavy are the keys inside it counted one by one.
+    """
+    hashed = df.select(key_hash(keys).alias("h"))
+    bucket = F.pmod("h", F.lit(_BUCKETS))
+    sizes = (
+        hashed.groupBy(bucket.alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.sum("n").alias("total"),
+            F.collect_list(F.when(F.col("n") >= hot_rows, F.struct("bucket", "n"))).alias("heavy"),
+        )
+        .first()
+    )
+    least = max(hot_rows, HOT_SHARE * (sizes.total or 0))
+    heavy = [b.bucket for b in sizes.heavy if b.n >= least]
+    if not heavy:
+        return []
+    hot = hashed.filter(bucket.isin(heavy)).groupBy("h").count().filter(F.col("count") >= least)
+    return [row.h for row in hot.collect()]
+
+
+def key_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
+def join_hot(
+    many: DataFrame,
+    one: DataFrame,
+    on: str | list[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join ``many`` to ``one``, which has one row per key, with hot keys spread over tasks.
 
     Rows of ``many`` with a hot key go to the task chosen by the partition they come from, and
-    the matching rows of ``one`` are repeated for each of those tasks. All other keys are
-    joined once. The salt depends on the partition and not on chance, so a task that is run
-    again produces the same rows.
+    the matching row of ``one`` is repeated for each of those tasks. All other keys are joined
+    as usual. The salt depends on the partition and not on chance, so a task that is run again
+    produces the same rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep the right side whole when salted")
@@ -31,11 +62,11 @@ def join_hot(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "i
     for key in keys:
         if many.schema[key].dataType != one.schema[key].dataType:
             raise ValueError(f"{key} must have the same type on both sides")
-    hot = hot_hashes(many, keys)
+    hot = hot_hashes(many, keys, hot_rows)
     if not hot:
         return many.join(one, keys, how)
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_hot = _hash(keys).isin(hot)
+    is_hot = key_hash(keys).isin(hot)
     salted = many.withColumn(
         "_salt", F.when(is_hot, F.spark_partition_id() % F.lit(tasks)).otherwise(F.lit(0))
     )
@@ -46,7 +77,3 @@ def join_hot(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "i
         ),
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)

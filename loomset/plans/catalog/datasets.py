@@ -85,7 +85,7 @@ def first_rows_by_range(spark, sf_dir):
     """A take done by range counts, as one too large for a single task would be."""
     order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     lines = inputs.table(spark, sf_dir, "lineitem").select(*order)
-    return sampling.take_first(lines, 50_000, order, small=1_000)
+    return sampling.take_first(lines, 50_000, order)
 
 
 @query("""
