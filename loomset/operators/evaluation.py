@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,17 +88,34 @@ def python_reward(
     """
     names = list(extra)
 
-    @F.pandas_udf("double")
-    def run(completions: pd.Series, truths: pd.Series, *rest: pd.Series) -> pd.Series:
-        given = [[dict(m) for m in c] if c is not None else None for c in completions]
-        more = {name: values.tolist() for name, values in zip(names, rest)}
-        rewards = score(given, truths.tolist(), **more)
+    @F.arrow_udf("double")
+    def run(completions: pa.Array, truths: pa.Array, *rest: pa.Array) -> pa.Array:
+        given = _message_lists(completions)
+        more = {name: values.to_pylist() for name, values in zip(names, rest)}
+        rewards = score(given, truths.to_pylist(), **more)
         if len(rewards) != len(given):
             raise ValueError(f"{len(rewards)} rewards for {len(given)} completions")
-        return pd.Series(rewards, dtype="float64")
+        return pa.array(rewards, pa.float64())
 
     return run(completion, ground_truth, *extra.values())
 
 
+def _message_lists(completions: pa.Array) -> list[list[dict[str, str]] | None]:
+    """Message lists, column by column: quicker than turning nested rows into Python one by one."""
+    turns = completions.flatten()
+    messages = iter(
+        [
+            {"role": role, "content": content}
+            for role, content in zip(
+                turns.field("role").to_pylist(), turns.field("content").to_pylist()
+            )
+        ]
+    )
+    return [
+        None if size is None else list(islice(messages, size))
+        for size in completions.value_lengths().to_pylist()
+    ]
+
+
 def _total(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, TimestampType
 
 from loomset.operators.skew import HOT_ROWS, hot_hashes, key_hash
 
@@ -35,11 +36,11 @@ def idle_streaks(
 
     A device is counted in one task, except hot ones: those are cut into chunks of time (one
     minute by default), counted chunk by chunk and completed by what the chunks before carry
-    over, one small row each. ``chunk`` must not fall as time goes on.
+    over, one small row each. ``chunk`` must not fall as time goes on. A time that is a number
+    counts as seconds.
     """
     if chunk is None:
-        days = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
-        chunk = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+        chunk = _minute(ts, samples.schema[ts].dataType)
     idle = F.coalesce(F.col(util) == 0, F.lit(False))
     entered = F.lit(0) if initial is None else F.coalesce(F.col(initial), F.lit(0))
     kept = [name for name in samples.columns if name != initial]
@@ -81,3 +82,13 @@ def idle_streaks(
         counted.join(carried, "_part"),
         F.coalesce(place - F.col("_reached"), place + entered),
     )
+
+
+def _minute(ts: str, kind: DataType) -> Column:
+    if isinstance(kind, TimestampType):
+        return F.floor(F.unix_seconds(ts) / 60)
+    if isinstance(kind, NumericType):
+        return F.floor(F.col(ts) / 60)
+    # Without a time zone the clock never goes back.
+    days = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
+    return (days * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("long")

@@ -46,7 +46,9 @@ def take_first(
 ) -> DataFrame:
     """First ``n`` rows in the order of ``order_by``; ``None`` and 0 mean all, below 0 none.
 
-    Up to ``top_rows`` this is Spark's top-k; a larger take is cut by range counts.
+    Up to ``top_rows`` this is Spark's top-k; a larger take is cut by range counts. Either way
+    the order columns are read on their own first, and the other columns only where the rows
+    taken can be: the bound on the first order column is pushed down to the files.
     """
     if not n:
         return df
@@ -54,7 +56,7 @@ def take_first(
         return df.limit(0)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     if n <= top_rows:
-        return df.orderBy(*order).limit(n)
+        return df.filter(_first_bound(df, n, order[0])).orderBy(*order).limit(n)
     return _take(df, _range_cut(df, n, order, top_rows))
 
 
@@ -151,6 +153,16 @@ def _row_text(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]), {"ignoreNullFields": "false"})
 
 
+def _first_bound(df: DataFrame, n: int, name: str) -> Column:
+    """A filter that the first ``n`` rows by ``name`` pass, NULLs first."""
+    keys = df.select(F.col(name).alias("k"))
+    last = keys.orderBy("k").limit(n).agg(F.max("k").cast("string")).first()[0]
+    missing = F.col(name).isNull()
+    if last is None:
+        return missing
+    return missing | (F.col(name) <= F.lit(last).cast(keys.schema["k"].dataType))
+
+
 def _take(df: DataFrame, cut: Cut) -> DataFrame:
     inside = df.filter(cut.inside)
     if cut.copies is None or cut.taken == 0:

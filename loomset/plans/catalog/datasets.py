@@ -123,7 +123,9 @@ def numbered_rows(spark, sf_dir):
 def text_to_sql_training(spark, sf_dir):
     """The whole text-to-SQL flow, from examples to training text."""
     examples = inputs.text_to_sql(spark, sf_dir)
-    return flows.text_to_sql_training(examples, shared_path(spark, "sql"), 5, "p_partkey")
+    return flows.text_to_sql_training(
+        examples, shared_path(spark, "sql"), "part", seed=5, key="p_partkey"
+    )
 
 
 @query(f"""

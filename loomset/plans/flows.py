@@ -12,9 +12,10 @@ from loomset.functions.reward import math_reward
 from loomset.operators import evaluation
 from loomset.operators.inference import Generate, generate_responses, response_or_error
 from loomset.operators.math_data import process_math
-from loomset.operators.sampling import seeded_sample, train_test_split
+from loomset.operators.sampling import assign_split, seeded_sample
+from loomset.schemas import CHAT
 from loomset.session import materialise
-from loomset.sources.datasets import write_and_reread
+from loomset.sources.datasets import load_dataset, write_dataset
 
 # How many text-to-SQL examples are taken and how many of them are for testing.
 SQL_EXAMPLES = 12_500
@@ -61,6 +62,7 @@ def evaluate_models(
 def text_to_sql_training(
     examples: DataFrame,
     out: str,
+    name: str,
     seed: int,
     key: str,
     n: int = SQL_EXAMPLES,
@@ -68,17 +70,17 @@ def text_to_sql_training(
     template: str = chat.SQL_SYSTEM_PROMPT,
     style: str = "chatml",
 ) -> DataFrame:
-    """Sample, build conversations, split, write JSON lines, read the training part back and
-    render it as one ``text`` per example."""
-    sample = seeded_sample(examples, n, seed, key)
-    parts = train_test_split(sample, test_size, seed + 1, key)
-    conversations = {
-        name: part.select(
-            chat.sql_conversation(
-                F.col("context"), F.col("question"), F.col("answer"), template
-            ).alias("messages")
-        )
-        for name, part in parts.items()
-    }
-    _, train = write_and_reread(conversations, out)
+    """Sample, split, build conversations, write JSON lines, read the training part back and
+    render it as one ``text`` per example.
+
+    The sample is written out once, so the steps after it no longer touch the whole table.
+    Both splits go out in one pass, each to its own folder.
+    """
+    sample = materialise(seeded_sample(examples, n, seed, key), "sample")
+    messages = chat.sql_conversation(
+        F.col("context"), F.col("question"), F.col("answer"), template
+    )
+    split = assign_split(sample, test_size, seed + 1, key)
+    write_dataset(split.select(messages.alias("messages"), "split"), out, name, file_format="json")
+    train = load_dataset(examples.sparkSession, out, name, schema=CHAT, file_format="json")
     return train.select(chat.render(F.col("messages"), style).alias("text"))
