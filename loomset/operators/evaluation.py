@@ -91,8 +91,8 @@ def python_reward(
     @F.arrow_udf("double")
     def run(completions: pa.Array, truths: pa.Array, *rest: pa.Array) -> pa.Array:
         given = _message_lists(completions)
-        more = {name: values.to_pylist() for name, values in zip(names, rest)}
-        rewards = score(given, truths.to_pylist(), **more)
+        more = {name: _values(values) for name, values in zip(names, rest)}
+        rewards = score(given, _values(truths), **more)
         if len(rewards) != len(given):
             raise ValueError(f"{len(rewards)} rewards for {len(given)} completions")
         return pa.array(rewards, pa.float64())
@@ -106,16 +106,23 @@ def _message_lists(completions: pa.Array) -> list[list[dict[str, str]] | None]:
     messages = iter(
         [
             {"role": role, "content": content}
-            for role, content in zip(
-                turns.field("role").to_pylist(), turns.field("content").to_pylist()
-            )
+            for role, content in zip(_values(turns.field("role")), _values(turns.field("content")))
         ]
     )
     return [
-        None if size is None else list(islice(messages, size))
-        for size in completions.value_lengths().to_pylist()
+        None if size < 0 else list(islice(messages, size))
+        for size in _values(completions.value_lengths().fill_null(-1))
     ]
 
 
+def _values(column: pa.Array) -> list:
+    """``to_pylist``, by way of NumPy where that keeps the values as they are."""
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+    number = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    if text or (number and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _total(column: Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
