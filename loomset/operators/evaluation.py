@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import islice
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomset.functions import reward, text
+from loomset.functions import chat, reward, text
+from loomset.operators.inference import Generate, generate_responses, response_or_error
 from loomset.operators.skew import join_hot
 
 
@@ -34,6 +36,27 @@ def score_predictions(
     )
 
 
+def answer_examples(
+    examples: DataFrame,
+    make_generate: Callable[..., Generate],
+    score: Callable[[Column, Column], Column] = reward.math_reward,
+    style: str = "chatml",
+    **settings: Any,
+) -> DataFrame:
+    """Ask a model every ``prompt`` and add ``response`` and ``reward``.
+
+    ``score`` makes the reward from the completion and the ``ground_truth``; what the model
+    raises is scored as its answer.
+    """
+    asked = chat.render(F.col("prompt"), style, True)
+    answered = generate_responses(examples, make_generate, asked, **settings)
+    return (
+        answered.withColumn("response", response_or_error())
+        .drop("error")
+        .withColumn("reward", score(chat.assistant_reply(F.col("response")), F.col("ground_truth")))
+    )
+
+
 def accuracy(scored: DataFrame, *by: str, score: str = "reward") -> DataFrame:
     """Accuracy, number of examples and sum of rewards, overall or per model.
 

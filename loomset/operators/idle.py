@@ -58,15 +58,17 @@ def idle_streaks(
             *kept, F.coalesce(own, streak).cast("long").alias("streak")
         ).withColumn("alert", F.col("streak") == limit)
 
+    def count_whole(df: DataFrame) -> DataFrame:
+        return finish(count_inside(df, device), F.col("_pos") + entered)
+
     hot = hot_hashes(samples, [device], hot_rows)
     if not hot:
-        return finish(count_inside(samples, device), F.col("_pos") + entered)
+        return count_whole(samples)
 
+    is_hot = key_hash([device]).isin(hot)
     # Structs compare equal on NULL fields, so samples without a device or time stay in.
-    fine = F.when(key_hash([device]).isin(hot), chunk)
-    counted = count_inside(
-        samples.withColumn("_part", F.struct(F.col(device).alias("of"), fine.alias("at"))), "_part"
-    )
+    part = F.struct(F.col(device).alias("of"), chunk.alias("at"))
+    counted = count_inside(samples.filter(is_hot).withColumn("_part", part), "_part")
     earlier = (
         Window.partitionBy("_part.of").orderBy("_part.at").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -78,10 +80,11 @@ def idle_streaks(
         .select("_part", "_before", "_reached")
     )
     place = F.col("_before") + F.col("_pos")
-    return finish(
+    completed = finish(
         counted.join(carried, "_part"),
         F.coalesce(place - F.col("_reached"), place + entered),
     )
+    return count_whole(samples.filter(~is_hot)).unionByName(completed)
 
 
 def _minute(ts: str, kind: DataType) -> Column:

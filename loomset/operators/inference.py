@@ -32,6 +32,7 @@ def generate_responses(
     df: DataFrame,
     make_generate: Callable[..., Generate],
     prompt: Column | str,
+    tasks: int | None = None,
     **settings: Any,
 ) -> DataFrame:
     """Add ``response`` and ``error`` to every row.
@@ -40,7 +41,8 @@ def generate_responses(
     prompts to a list of responses, so a model is loaded once per task. Only the prompt travels
     to Python. A failing batch is halved until the failing prompts stand alone; each of them
     carries its error and no other row is lost. Filter prompts before calling this: nothing
-    is pushed below a model call.
+    is pushed below a model call. ``tasks`` deals the rows out evenly first, for inputs whose
+    files are few and large or many and small.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -52,7 +54,8 @@ def generate_responses(
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     answer = F.pandas_udf(run, "response string, error string").asNondeterministic()
     asked = F.col(prompt) if isinstance(prompt, str) else prompt
-    return df.withColumn("_answer", answer(asked)).select(
+    spread = df.repartition(tasks) if tasks else df
+    return spread.withColumn("_answer", answer(asked)).select(
         *df.columns, F.col("_answer.response").alias("response"), F.col("_answer.error").alias("error")
     )
 

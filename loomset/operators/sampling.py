@@ -15,6 +15,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from loomset.operators.skew import HOT_ROWS, hot_hashes, key_hash
 
@@ -24,6 +33,7 @@ TOP_ROWS = 10_000
 # Up to this many digests are worth collecting.
 SMALL = 100_000
 
+_SORT_TYPES = (BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType)
 _HEX_PER_ROUND = 3  # 16**3 counted buckets a round
 
 
@@ -115,13 +125,14 @@ def number_rows(
     value, ranked block by block, and completed by the sizes of the blocks before, one small
     row each.
     """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order_by)).cast("long")
     hot = hot_hashes(df, [group], hot_rows)
     if not hot:
-        place = F.row_number().over(Window.partitionBy(group).orderBy(order_by))
-        return df.withColumn(number, place.cast("long"))
-    fine = F.when(key_hash([group]).isin(hot), F.floor(F.col(order_by) / F.lit(block)))
+        return df.withColumn(number, place)
+    is_hot = key_hash([group]).isin(hot)
     # Structs compare equal on NULL fields, so rows without a group are numbered as well.
-    blocks = df.withColumn("_block", F.struct(F.col(group).alias("of"), fine.alias("at")))
+    spot = F.struct(F.col(group).alias("of"), F.floor(F.col(order_by) / F.lit(block)).alias("at"))
+    blocks = df.filter(is_hot).withColumn("_block", spot)
     inside = Window.partitionBy("_block").orderBy(order_by)
     earlier = (
         Window.partitionBy("_block.of").orderBy("_block.at").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,12 +142,13 @@ def number_rows(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    return (
+    numbered = (
         blocks.withColumn("_rank", F.row_number().over(inside))
         .join(offsets, "_block")
         .withColumn(number, F.col("_before") + F.col("_rank"))
         .select(*df.columns, number)
     )
+    return df.filter(~is_hot).withColumn(number, place).unionByName(numbered)
 
 
 def row_digest(df: DataFrame, seed: int, key: str | list[str] | None = None) -> Column:
@@ -155,12 +167,29 @@ def _row_text(df: DataFrame) -> Column:
 
 def _first_bound(df: DataFrame, n: int, name: str) -> Column:
     """A filter that the first ``n`` rows by ``name`` pass, NULLs first."""
-    keys = df.select(F.col(name).alias("k"))
-    last = keys.orderBy("k").limit(n).agg(F.max("k").cast("string")).first()[0]
+    kind = df.schema[name].dataType
+    if not isinstance(kind, _SORT_TYPES):
+        return F.lit(True)
+    first = df.select(F.col(name).alias("k")).orderBy("k").limit(n)
+    return _up_to(name, first.agg(_as_text(F.max("k"), kind)).first()[0], kind)
+
+
+def _up_to(name: str, last: str | None, kind: DataType) -> Column:
     missing = F.col(name).isNull()
-    if last is None:
-        return missing
-    return missing | (F.col(name) <= F.lit(last).cast(keys.schema["k"].dataType))
+    return missing if last is None else missing | (F.col(name) <= _from_text(last, kind))
+
+
+def _as_text(column: Column, kind: DataType) -> Column:
+    """A bound as text, from which it is read back without loss."""
+    if isinstance(kind, TimestampType):  # a local time that occurs twice would be ambiguous
+        column = F.unix_micros(column)
+    return column.cast("string")
+
+
+def _from_text(text: str | None, kind: DataType) -> Column:
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(F.lit(text).cast("long"))
+    return F.lit(text).cast(kind)
 
 
 def _take(df: DataFrame, cut: Cut) -> DataFrame:
@@ -257,16 +286,23 @@ def _range_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
     bound per range; the next round looks only into the range where the take ends.
     """
     pieces = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = [df.schema[name].dataType for name in order]
+    if not all(isinstance(kind, _SORT_TYPES) for kind in kinds):
+        raise ValueError("a take this large is ordered by numbers, strings, dates or times")
     place = F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(order)])
-    kind = df.select(place.alias("k")).schema["k"].dataType
-    as_text = "struct<" + ",".join(f"{field.name}:string" for field in kind.fields) + ">"
 
-    def at(row) -> Column:
-        # Bounds travel as text, which every sort type is read back from without loss.
+    def text_of(column: str) -> Column:
+        return F.array(*[_as_text(F.col(f"{column}.k{i}"), kind) for i, kind in enumerate(kinds)])
+
+    def at(bound: list[str | None]) -> Column:
         return F.struct(
-            *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields)]
+            *[_from_text(v, kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(bound, kinds))]
         )
 
+    def up_to(bound: list[str | None]) -> Column:
+        # The bound on the first column alone is one that files can be skipped by.
+        return _up_to(order[0], bound[0], kinds[0]) & (place <= at(bound))
+
     before, below, within = 0, F.lit(False), F.lit(True)
     while True:
         keys = df.filter(within).select(place.alias("k"))
@@ -274,29 +310,30 @@ def _range_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
             keys.repartitionByRange(pieces, "k")
             .groupBy(F.spark_partition_id().alias("p"))
             .agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("high"), F.min("k").alias("low"))
-            .select("p", "n", F.col("high").cast(as_text), F.col("low").cast(as_text))
+            .select("p", "n", text_of("high").alias("high"), text_of("low").alias("low"))
             .collect()
         )
         for part in sorted(ranges, key=lambda row: row.p):
             if before + part.n >= n:
                 break
-            before, below = before + part.n, place <= at(part.high)
+            before, below = before + part.n, up_to(part.high)
         else:
             return Cut(F.lit(True))
         if before + part.n == n:
-            return Cut(place <= at(part.high))
+            return Cut(up_to(part.high))
         if part.low == part.high:
             end, count = part.high, part.n
             break
-        within = (place <= at(part.high)) & ~below
+        within = up_to(part.high) & ~below
         if part.n <= small:
             last = df.filter(within).select(place.alias("k")).groupBy("k").count().orderBy("k")
-            for row in last.select(F.col("k").cast(as_text), F.col("count").alias("n")).collect():
+            for row in last.select(text_of("k").alias("k"), F.col("count").alias("n")).collect():
                 if before + row.n >= n:
                     break
                 before += row.n
             if before + row.n == n:
-                return Cut(place <= at(row.k))
+                return Cut(up_to(row.k))
             end, count = row.k, row.n
             break
-    return _cut_among_ties(df, n - before, count, place < at(end), place == at(end))
+    reach = up_to(end)
+    return _cut_among_ties(df, n - before, count, reach & (place < at(end)), reach & (place == at(end)))

@@ -95,6 +95,4 @@ def _counted_sql(offset):
 def math_evaluation(spark, sf_dir):
     """The whole math flow: prompts, two models' answers, rewards, accuracies, difference."""
     two = {"base": models.make_base_counter, "trained": models.make_trained_counter}
-    return flows.evaluate_models(
-        inputs.math_examples(spark, sf_dir), two, "o_orderkey", "base", "trained"
-    )
+    return flows.evaluate_models(inputs.math_examples(spark, sf_dir), two, "base", "trained")

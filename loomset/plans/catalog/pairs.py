@@ -48,11 +48,11 @@ GENERATED_SQL = f"""
 
 
 def _sides(pairs):
-    sides = [
-        messages_to_turns(pairs, "conv_id", "part", "status", messages=side).withColumn("side", F.lit(side))
-        for side in ("chosen", "rejected")
-    ]
-    return sides[0].unionByName(sides[1])
+    sides = F.array(
+        *[F.struct(F.lit(side).alias("side"), F.col(side).alias("messages")) for side in ("chosen", "rejected")]
+    )
+    both = pairs.select("conv_id", "part", "status", F.inline(sides))
+    return messages_to_turns(both, "conv_id", "part", "status", "side")
 
 
 def _stored(spark, sf_dir, **options):

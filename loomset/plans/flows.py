@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.functions import chat
-from loomset.functions.reward import math_reward
 from loomset.operators import evaluation
-from loomset.operators.inference import Generate, generate_responses, response_or_error
+from loomset.operators.inference import Generate
 from loomset.operators.math_data import process_math
 from loomset.operators.sampling import assign_split, seeded_sample
 from loomset.schemas import CHAT
@@ -25,7 +25,6 @@ SQL_TEST_SHARE = 2_500 / 12_500
 def evaluate_models(
     examples: DataFrame,
     models: dict[str, Callable[..., Generate]],
-    key: str,
     base: str,
     trained: str,
     style: str = "chatml",
@@ -33,30 +32,18 @@ def evaluate_models(
 ) -> DataFrame:
     """Ask two models every math question and compare their accuracy, in one row.
 
-    Each model's reward stays on the row it was generated from, so nothing is joined. Rewards
-    are written out before they are aggregated: generating is the dear step.
+    The reward stays on the row it was generated from, so nothing is joined. Rewards are
+    written out before they are aggregated: generating is the dear step.
     """
-    gold = process_math(examples).select(key, "ground_truth", "prompt")
-    scored = []
-    for title, make_generate in models.items():
-        answered = generate_responses(
-            gold, make_generate, chat.render(F.col("prompt"), style, True), **settings
-        )
-        scored.append(
-            answered.select(
-                F.lit(title).alias("model"),
-                F.col("ground_truth"),
-                chat.assistant_reply(response_or_error()).alias("completion"),
-            )
+    prompts = process_math(examples).select("ground_truth", "prompt")
+    rewards = [
+        evaluation.answer_examples(prompts, make_generate, style=style, **settings).select(
+            F.lit(title).alias("model"), "reward"
         )
-    rewards = scored[0]
-    for other in scored[1:]:
-        rewards = rewards.unionByName(other)
-    rewards = rewards.select(
-        "model", math_reward(F.col("completion"), F.col("ground_truth")).alias("reward")
-    )
-    metrics = evaluation.accuracy(materialise(rewards, "rewards"), "model")
-    return evaluation.compare_models(metrics, base, trained)
+        for title, make_generate in models.items()
+    ]
+    stored = materialise(reduce(DataFrame.unionByName, rewards), "rewards")
+    return evaluation.compare_models(evaluation.accuracy(stored, "model"), base, trained)
 
 
 def text_to_sql_training(

@@ -154,6 +154,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a file stream."""
+    """A test table as a file stream. The path is a pattern because a stream takes a pattern for
+    a single file or for a folder, but a plain path for a folder only."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
