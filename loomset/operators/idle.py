@@ -26,6 +26,7 @@ def idle_streaks(
     limit: int = IDLE_LIMIT,
     initial: str | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: list[int] | None = None,
     chunk: Column | None = None,
 ) -> DataFrame:
     """Add ``streak``, the number of idle samples in a row up to this one, and ``alert``, true
@@ -37,7 +38,7 @@ def idle_streaks(
     A device is counted in one task, except hot ones: those are cut into chunks of time (one
     minute by default), counted chunk by chunk and completed by what the chunks before carry
     over, one small row each. ``chunk`` must not fall as time goes on. A time that is a number
-    counts as seconds.
+    counts as seconds. ``hot`` is the result of ``hot_hashes`` where it is known already.
     """
     if chunk is None:
         chunk = _minute(ts, samples.schema[ts].dataType)
@@ -61,7 +62,8 @@ def idle_streaks(
     def count_whole(df: DataFrame) -> DataFrame:
         return finish(count_inside(df, device), F.col("_pos") + entered)
 
-    hot = hot_hashes(samples, [device], hot_rows)
+    if hot is None:
+        hot = hot_hashes(samples, [device], hot_rows)
     if not hot:
         return count_whole(samples)
 

@@ -48,21 +48,23 @@ def join_hot(
     on: str | list[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one``, which has one row per key, with hot keys spread over tasks.
 
     Rows of ``many`` with a hot key go to the task chosen by the partition they come from, and
     the matching row of ``one`` is repeated for each of those tasks. All other keys are joined
     as usual. The salt depends on the partition and not on chance, so a task that is run again
-    produces the same rows.
+    produces the same rows. ``hot`` is the result of ``hot_hashes`` where it is known already.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep the right side whole when salted")
     keys = [on] if isinstance(on, str) else list(on)
     for key in keys:
-        if many.schema[key].dataType != one.schema[key].dataType:
+        if many.schema[key].dataType.simpleString() != one.schema[key].dataType.simpleString():
             raise ValueError(f"{key} must have the same type on both sides")
-    hot = hot_hashes(many, keys, hot_rows)
+    if hot is None:
+        hot = hot_hashes(many, keys, hot_rows)
     if not hot:
         return many.join(one, keys, how)
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))

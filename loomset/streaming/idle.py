@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomset.operators.idle import IDLE_LIMIT, idle_streaks
-from loomset.operators.skew import join_hot
+from loomset.operators.skew import HOT_ROWS, hot_hashes, join_hot
 
 
 def stream_idle_streaks(
@@ -19,6 +19,7 @@ def stream_idle_streaks(
     util: str = "util",
     tie: tuple[str, ...] = (),
     limit: int = IDLE_LIMIT,
+    hot_rows: int = HOT_ROWS,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Write each micro-batch with ``streak``, ``alert`` and ``late`` to ``out``.
@@ -39,38 +40,51 @@ def stream_idle_streaks(
 
     def advance(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
-        last = _last_struct(batch_df, place)
-        state_schema = f"{device} {batch_df.schema[device].dataType.simpleString()}, " + (
-            f"_entered long, _seen {last}"
-        )
-        state = (
-            spark.read.schema(state_schema).parquet(state_path(batch - 1))
-            if batch > 0
-            else spark.createDataFrame([], state_schema)
-        )
-        known = join_hot(batch_df, state, device, "left").withColumn(
-            "late", F.coalesce(F.struct(*place) <= F.col("_seen"), F.lit(False))
-        )
-        counted = idle_streaks(
-            known.filter(~F.col("late")).drop("_seen"), device, ts, util, tie, limit, "_entered"
-        )
-        late = (
-            known.filter("late")
-            .drop("_seen", "_entered")
-            .withColumns({"streak": F.lit(None).cast("long"), "alert": F.lit(False)})
-        )
+        seen = batch_df.select(F.struct(*place).alias("p")).schema["p"].dataType.simpleString()
+        kind = batch_df.schema[device].dataType.simpleString()
+        state_schema = f"{device} {kind}, _entered long, _seen {seen}"
+        hot = hot_hashes(batch_df, [device], hot_rows)
+
+        def count(df: DataFrame, entered: str | None) -> DataFrame:
+            return idle_streaks(df, device, ts, util, tie, limit, entered, hot=hot).withColumn(
+                "late", F.lit(False)
+            )
+
+        if batch == 0:
+            counted = count(batch_df, None)
+        else:
+            state = spark.read.schema(state_schema).parquet(state_path(batch - 1))
+            # A struct of the device equals itself even where the device is NULL, and hashes alike.
+            of = F.struct(device)
+            known = join_hot(
+                batch_df.withColumn("_of", of),
+                state.select(of.alias("_of"), "_entered", "_seen"),
+                "_of",
+                "left",
+                hot=hot,
+            )
+            is_late = F.coalesce(F.struct(*place) <= F.col("_seen"), F.lit(False))
+            late = known.filter(is_late).select(
+                *batch_df.columns,
+                F.lit(None).cast("long").alias("streak"),
+                F.lit(False).alias("alert"),
+                F.lit(True).alias("late"),
+            )
+            in_time = known.filter(~is_late).select(*batch_df.columns, "_entered")
+            counted = count(in_time, "_entered").unionByName(late)
         written = f"{out.rstrip('/')}/batch={batch}"
-        counted.unionByName(late).write.mode("overwrite").parquet(written)
+        counted.write.mode("overwrite").parquet(written)
 
         stored = spark.read.parquet(written).filter(~F.col("late"))
         moved = stored.groupBy(device).agg(
             F.max_by("streak", F.struct(*place)).alias("_entered"),
             F.max(F.struct(*place)).alias("_seen"),
         )
-        # The later of the old and the new row; an unseen device keeps its old one.
-        state.unionByName(moved).groupBy(device).agg(
-            F.max_by("_entered", "_seen").alias("_entered"), F.max("_seen").alias("_seen")
-        ).write.mode("overwrite").parquet(state_path(batch))
+        if batch > 0:  # a device not in this micro-batch keeps its row
+            moved = state.unionByName(moved).groupBy(device).agg(
+                F.max_by("_entered", "_seen").alias("_entered"), F.max("_seen").alias("_seen")
+            )
+        moved.write.mode("overwrite").parquet(state_path(batch))
 
     writer = samples.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -79,7 +93,3 @@ def stream_idle_streaks(
 def read_idle_streaks(spark: SparkSession, out: str) -> DataFrame:
     """Everything a stream has written so far."""
     return spark.read.option("basePath", out).parquet(f"{out.rstrip('/')}/batch=*")
-
-
-def _last_struct(df: DataFrame, place: list[str]) -> str:
-    return df.select(F.struct(*place).alias("p")).schema["p"].dataType.simpleString()

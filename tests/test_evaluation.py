@@ -135,3 +135,9 @@ def test_key_types_must_agree(spark, skewed):
         join_hot(rows, one.withColumn("key", F.col("key").cast("int")), "key")
     with pytest.raises(ValueError):
         join_hot(rows, one, "key", "full")
+
+
+def test_a_struct_of_one_column_hashes_like_the_column(spark):
+    df = spark.createDataFrame([(1, "a"), (None, None)], "a long, b string")
+    same = df.select(*[F.xxhash64(F.struct(c)) == F.xxhash64(c) for c in df.columns])
+    assert all(all(row) for row in same.collect())

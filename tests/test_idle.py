@@ -12,11 +12,12 @@ SCHEMA = "device string, ts timestamp_ntz, id long, util double"
 
 
 def samples(n=3_000, seed=2):
-    """Device ``hot`` has half of the rows; some readings are missing, some times are equal."""
+    """Device ``hot`` has half of the rows, one device has no name; some readings are missing,
+    some times are equal."""
     rng = random.Random(seed)
     rows = []
     for i in range(n):
-        device = "hot" if rng.random() < 0.5 else f"d{rng.randrange(9)}"
+        device = "hot" if rng.random() < 0.5 else rng.choice(["a", "b", "c", "d", "e", None])
         util = rng.choice([0.0, 0.0, 0.0, 0.0, 5.0, None])
         rows.append((device, START + timedelta(seconds=(i // 3) * 20), i, util))
     return rows
@@ -68,14 +69,15 @@ def test_total_utilisation(spark):
     assert got == {1: 3.0, 2: 0.0, 3: None}
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("hot_rows", [100_000, 100])
+def test_stream_equals_batch(spark, tmp_path, hot_rows):
     rows = samples(1_500)
     source = str(tmp_path / "in")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
 
     def run():
         streamed = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-        stream_idle_streaks(streamed, out, checkpoint, tie=("id",), limit=4).awaitTermination()
+        stream_idle_streaks(streamed, out, checkpoint, tie=("id",), limit=4, hot_rows=hot_rows).awaitTermination()
 
     def add(part):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
