@@ -24,6 +24,9 @@ SQL_TEMPERATURE = 0.7
 GENERATION_ERROR = "Error generating response: "
 MISSING_RESPONSE = "Error: failed to generate response."
 
+# Ours: how many prompts a model gets at a time, whatever the size of an Arrow batch.
+BATCH_SIZE = 64
+
 # Ours: the error of a row that has nothing to ask.
 NO_PROMPT = "no prompt"
 
@@ -32,6 +35,7 @@ def generate_responses(
     df: DataFrame,
     make_generate: Callable[..., Generate],
     prompt: Column | str,
+    batch_size: int = BATCH_SIZE,
     tasks: int | None = None,
     **settings: Any,
 ) -> DataFrame:
@@ -39,7 +43,7 @@ def generate_responses(
 
     ``make_generate(**settings)`` runs once per task and returns a function from a list of
     prompts to a list of responses, so a model is loaded once per task. Only the prompt travels
-    to Python. A failing batch is halved until the failing prompts stand alone; each of them
+    to Python, in lists of up to ``batch_size``. A failing list is halved until the failing prompts stand alone; each of them
     carries its error and no other row is lost. Filter prompts before calling this: nothing
     is pushed below a model call. ``tasks`` deals the rows out evenly first, for inputs whose
     files are few and large or many and small.
@@ -48,7 +52,8 @@ def generate_responses(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         generate = make_generate(**settings)
         for prompts in batches:
-            yield pd.DataFrame(_answers(generate, prompts.tolist()), columns=["response", "error"])
+            answers = _answers(generate, prompts.tolist(), batch_size)
+            yield pd.DataFrame(answers, columns=["response", "error"])
 
     # Nondeterministic, so that the optimiser never runs the model twice for one row.
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -60,9 +65,17 @@ def generate_responses(
     )
 
 
-def _answers(generate: Generate, prompts: list[str | None]) -> list[tuple[str | None, str | None]]:
+def _answers(
+    generate: Generate, prompts: list[str | None], batch_size: int
+) -> list[tuple[str | None, str | None]]:
     asked = [p for p in prompts if p is not None]
-    given = iter(_try(generate, asked) if asked else [])
+    given = iter(
+        [
+            answer
+            for start in range(0, len(asked), batch_size)
+            for answer in _try(generate, asked[start : start + batch_size])
+        ]
+    )
     return [(None, NO_PROMPT) if p is None else next(given) for p in prompts]
 
 

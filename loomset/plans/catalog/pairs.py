@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from loomset.operators import preference, preview
 from loomset.operators.turns import messages_to_turns
-from loomset.plans import inputs, models
+from loomset.plans import flows, inputs, models
 from loomset.plans.catalog.chats import IDENTITY_SQL
 from loomset.plans.catalog.registry import query
+from loomset.session import shared_path
 
 POSITIVE, ORGANIZATION = "Deep Acme", "Acme"
 
@@ -85,6 +86,17 @@ def generated_pairs(spark, sf_dir):
     )
 
 
+@query(_sides_sql(GENERATED_SQL))
+def stored_pairs(spark, sf_dir):
+    """The whole preference flow: conversations, answers, pairs, dataset, pairs as stored."""
+    return _sides(
+        flows.preference_training(
+            inputs.identity(spark, sf_dir), models.make_acme, POSITIVE, ORGANIZATION,
+            shared_path(spark, "pairs"), "identity", "conv_id", "part",
+        )
+    )
+
+
 @query(f"SELECT conv_id, part, chosen, rejected FROM ({STORED_SQL}) ORDER BY conv_id, part LIMIT 5")
 def pair_preview(spark, sf_dir):
     def reply(side):

@@ -1,4 +1,4 @@
-"""The three end-to-end flows: math evaluation, preference data, text-to-SQL data."""
+"""The end-to-end flows: math evaluation, preference data, text-to-SQL data."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from loomset.functions import chat
 from loomset.operators import evaluation
 from loomset.operators.inference import Generate
 from loomset.operators.math_data import process_math
+from loomset.operators.preference import generate_pairs
 from loomset.operators.sampling import assign_split, seeded_sample
 from loomset.schemas import CHAT
 from loomset.session import materialise
@@ -46,6 +47,26 @@ def evaluate_models(
     return evaluation.compare_models(evaluation.accuracy(stored, "model"), base, trained)
 
 
+def preference_training(
+    conversations: DataFrame,
+    make_generate: Callable[..., Generate],
+    positive: str,
+    organization: str,
+    out: str,
+    name: str,
+    *keep: str,
+    **settings,
+) -> DataFrame:
+    """Answer the last question of every conversation, make pairs, store them as a dataset and
+    read it back."""
+    pairs = generate_pairs(
+        conversations, make_generate, positive, organization, *keep, **settings
+    ).withColumn("split", F.lit("train"))
+    write_dataset(pairs, out, name, file_format="json")
+    schema = pairs.drop("split").schema
+    return load_dataset(conversations.sparkSession, out, name, schema=schema, file_format="json")
+
+
 def text_to_sql_training(
     examples: DataFrame,
     out: str,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomset.operators.sampling import take_first
 from loomset.schemas import CHAT
@@ -21,7 +22,7 @@ def load_dataset(
     split: str = "train",
     limit: int | None = None,
     order_by: str | list[str] | None = None,
-    schema: str | None = None,
+    schema: str | StructType | None = None,
     file_format: str = "parquet",
 ) -> DataFrame:
     """One split of a dataset; only that split's folder is read.
