@@ -54,7 +54,8 @@ def join_hot(
 
     Rows of ``many`` with a hot key go to the task chosen by the partition they come from, and
     the matching row of ``one`` is repeated for each of those tasks. All other keys are joined
-    as usual. The salt depends on the partition and not on chance, so a task that is run again
+    as usual. It is always a sort-merge join: both sides may be large, it can spill, and a
+    broadcast would go by the compressed size of files. The salt depends on the partition and not on chance, so a task that is run again
     produces the same rows. ``hot`` is the result of ``hot_hashes`` where it is known already.
     """
     if how not in ("inner", "left"):
@@ -66,7 +67,7 @@ def join_hot(
     if hot is None:
         hot = hot_hashes(many, keys, hot_rows)
     if not hot:
-        return many.join(one, keys, how)
+        return many.join(one.hint("merge"), keys, how)
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = key_hash(keys).isin(hot)
     salted = many.withColumn(
@@ -78,4 +79,4 @@ def join_hot(
             F.when(is_hot, F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))
         ),
     )
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -15,8 +15,9 @@ def build_session(master: str | None = None, app: str = "loomset", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Hash instead of sort-merge join where every partition has been seen to be this small.
-        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+        # Broadcast by measured sizes only: files tell how large data is when compressed.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:

@@ -110,9 +110,7 @@ def test_join_of_a_hot_key_is_whole(spark, skewed, how):
 
 def test_hot_key_is_spread(spark, skewed):
     rows, one = skewed
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         sizes = (
@@ -124,7 +122,6 @@ def test_hot_key_is_spread(spark, skewed):
         )
         plain = rows.join(one, "key").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert plain > 10_000 and sizes < 0.7 * plain
 

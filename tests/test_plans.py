@@ -56,12 +56,7 @@ def test_row_local_operators_do_not_shuffle(spark):
 
 
 def test_scored_text_is_not_shuffled(spark):
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(entry.queries()["math_accuracy"](spark, SF_DIR))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    text = plan(entry.queries()["math_accuracy"](spark, SF_DIR))
     assert "SortMergeJoin" in text
     before_join = text[text.index("SortMergeJoin"):]
     assert before_join.index("Exchange") < before_join.index("regexp_extract")
@@ -71,3 +66,16 @@ def test_large_takes_push_their_bound_down(spark):
     df = spark.read.parquet(f"{SF_DIR}/orders.parquet").select("o_orderkey", F.col("o_custkey"))
     assert "LessThanOrEqual(o_orderkey,199)" in plan(take_first(df, 200, "o_orderkey", top_rows=10))
     assert "LessThanOrEqual(o_orderkey,4)" in plan(take_first(df, 5, "o_orderkey"))
+
+
+def test_large_joins_never_broadcast(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100MB")
+    try:
+        for name in ("math_accuracy", "preference_pairs"):
+            df = entry.queries()[name](spark, SF_DIR)
+            df.collect()
+            text = plan(df)
+            assert "SortMergeJoin" in text and "Broadcast" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
