@@ -67,7 +67,7 @@ def take_first(
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     if n <= top_rows:
         return df.filter(_first_bound(df, n, order[0])).orderBy(*order).limit(n)
-    return _take(df, _range_cut(df, n, order, top_rows))
+    return _take(df, _ordered_cut(df, n, order, top_rows))
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str | list[str] | None = None) -> DataFrame:
@@ -171,12 +171,20 @@ def _first_bound(df: DataFrame, n: int, name: str) -> Column:
     if not isinstance(kind, _SORT_TYPES):
         return F.lit(True)
     first = df.select(F.col(name).alias("k")).orderBy("k").limit(n)
-    return _up_to(name, first.agg(_as_text(F.max("k"), kind)).first()[0], kind)
+    found = first.agg(
+        _as_text(F.max("k"), kind).alias("last"),
+        (F.count(F.lit(1)) > F.count("k")).alias("missing"),
+    ).first()
+    return _up_to(name, found.last, kind, found.missing)
 
 
-def _up_to(name: str, last: str | None, kind: DataType) -> Column:
-    missing = F.col(name).isNull()
-    return missing if last is None else missing | (F.col(name) <= _from_text(last, kind))
+def _up_to(name: str, last: str | None, kind: DataType, missing: bool) -> Column:
+    """Values up to ``last``; a plain comparison where no value is missing, since files can be
+    skipped by that."""
+    if last is None:
+        return F.col(name).isNull()
+    known = F.col(name) <= _from_text(last, kind)
+    return F.col(name).isNull() | known if missing else known
 
 
 def _as_text(column: Column, kind: DataType) -> Column:
@@ -279,61 +287,86 @@ def _nth_digest(rows: DataFrame, n: int, buckets: list[Row]) -> tuple[str, int,
         buckets = _count_by_digits(rows, prefix)
 
 
-def _range_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
+def _ordered_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
     """The first ``n`` rows by ``order``, for an ``n`` too large for one task.
 
-    Each round range-partitions the sort columns alone and collects one count and one upper
-    bound per range; the next round looks only into the range where the take ends.
+    Finds the value of the n-th row column by column: each further column only orders the rows
+    that agree with the n-th row in the columns before it.
     """
-    pieces = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kinds = [df.schema[name].dataType for name in order]
     if not all(isinstance(kind, _SORT_TYPES) for kind in kinds):
         raise ValueError("a take this large is ordered by numbers, strings, dates or times")
-    place = F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(order)])
-
-    def text_of(column: str) -> Column:
-        return F.array(*[_as_text(F.col(f"{column}.k{i}"), kind) for i, kind in enumerate(kinds)])
-
-    def at(bound: list[str | None]) -> Column:
-        return F.struct(
-            *[_from_text(v, kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(bound, kinds))]
-        )
-
-    def up_to(bound: list[str | None]) -> Column:
-        # The bound on the first column alone is one that files can be skipped by.
-        return _up_to(order[0], bound[0], kinds[0]) & (place <= at(bound))
-
-    before, below, within = 0, F.lit(False), F.lit(True)
+    sure, tied = F.lit(False), F.lit(True)
+    reach = None
+    for name, kind in zip(order, kinds):
+        found = _nth_value(df.filter(tied), n, name, kind, small)
+        if found is None:
+            return Cut(F.lit(True))
+        value, before, same, missing = found
+        if reach is None:
+            reach = _up_to(name, value, kind, missing)
+        if value is None:
+            tied = tied & F.col(name).isNull()
+        else:
+            bound = _from_text(value, kind)
+            below = F.col(name) < bound
+            sure = sure | (tied & (F.col(name).isNull() | below if missing else below))
+            tied = tied & (F.col(name) == bound)
+        n -= before
+        if n == same:
+            return Cut(reach & (sure | tied))
+    return _cut_among_ties(df, n, same, reach & sure, reach & tied)
+
+
+def _nth_value(
+    rows: DataFrame, n: int, name: str, kind: DataType, small: int
+) -> tuple[str | None, int, int, bool] | None:
+    """The n-th smallest value as text (NULLs first), how many rows are below it, how many have
+    it and whether any value is missing; nothing when there are not more than ``n`` rows.
+
+    Each round range-partitions the column and collects one count and two bounds per range; the
+    next round looks only into the range that holds the n-th row. The highest value of that
+    range is counted on its own, so a value that fills a range ends the search.
+    """
+    keys = rows.select(F.col(name).alias("k"))
+    known = keys.agg(F.count(F.lit(1)).alias("total"), F.count("k").alias("known")).first()
+    before = known.total - known.known
+    if n >= known.total:
+        return None
+    missing = before > 0
+    if n <= before:
+        return None, 0, before, missing
+    pieces = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = keys.filter(F.col("k").isNotNull())
     while True:
-        keys = df.filter(within).select(place.alias("k"))
         ranges = (
             keys.repartitionByRange(pieces, "k")
             .groupBy(F.spark_partition_id().alias("p"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("high"), F.min("k").alias("low"))
-            .select("p", "n", text_of("high").alias("high"), text_of("low").alias("low"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+            .select(
+                "p",
+                "n",
+                (F.col("low") == F.col("high")).alias("single"),
+                _as_text(F.col("low"), kind).alias("low"),
+                _as_text(F.col("high"), kind).alias("high"),
+            )
             .collect()
         )
         for part in sorted(ranges, key=lambda row: row.p):
             if before + part.n >= n:
                 break
-            before, below = before + part.n, up_to(part.high)
-        else:
-            return Cut(F.lit(True))
-        if before + part.n == n:
-            return Cut(up_to(part.high))
-        if part.low == part.high:
-            end, count = part.high, part.n
-            break
-        within = up_to(part.high) & ~below
+            before += part.n
+        if part.single:
+            return part.high, before, part.n, missing
+        low, high = _from_text(part.low, kind), _from_text(part.high, kind)
+        keys = keys.filter((F.col("k") >= low) & (F.col("k") <= high))
         if part.n <= small:
-            last = df.filter(within).select(place.alias("k")).groupBy("k").count().orderBy("k")
-            for row in last.select(text_of("k").alias("k"), F.col("count").alias("n")).collect():
-                if before + row.n >= n:
-                    break
-                before += row.n
-            if before + row.n == n:
-                return Cut(up_to(row.k))
-            end, count = row.k, row.n
-            break
-    reach = up_to(end)
-    return _cut_among_ties(df, n - before, count, reach & (place < at(end)), reach & (place == at(end)))
+            counts = keys.groupBy("k").count().orderBy("k")
+            for row in counts.select(_as_text(F.col("k"), kind).alias("k"), "count").collect():
+                if before + row["count"] >= n:
+                    return row.k, before, row["count"], missing
+                before += row["count"]
+        same = keys.filter(F.col("k") == high).count()
+        if before + part.n - same < n:
+            return part.high, before + part.n - same, same, missing
+        keys = keys.filter(F.col("k") < high)

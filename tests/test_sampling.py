@@ -58,6 +58,24 @@ def test_large_takes_of_other_types(spark):
         assert bag(take_first(df, 1_234, order, top_rows=50)) == bag(df.orderBy(*order).limit(1_234))
 
 
+@pytest.mark.parametrize("n", [1, 3, 150, 9_990, 9_999])
+def test_large_takes_around_one_value(spark, n):
+    """Nearly all rows have one value, with a few above and below it that no sample may hit."""
+    df = spark.range(0, 10_000, 1, 5).select(
+        F.when(F.col("id") < 3, -F.col("id") - 1.0)
+        .when(F.col("id") > 9_995, F.col("id") * 1.0)
+        .when(F.col("id") % 100 == 50, F.lit(-0.0))
+        .when(F.col("id") == 77, F.lit(float("nan")))
+        .otherwise(F.lit(0.0))
+        .alias("x"),
+        (F.col("id") % 4_000).alias("y"),
+    )
+    got = take_first(df, n, ["x", "y"], top_rows=20)
+    assert got.count() == n
+    want = df.orderBy("x", "y").limit(n)
+    assert bag(got.select(F.col("x") + 0.0, "y")) == bag(want.select(F.col("x") + 0.0, "y"))
+
+
 def order_of(ids, seed):
     return sorted(ids, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
 
