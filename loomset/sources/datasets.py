@@ -24,9 +24,13 @@ def load_dataset(
     order_by: str | list[str] | None = None,
     schema: str | StructType | None = None,
     file_format: str = "parquet",
+    files: str | None = None,
 ) -> DataFrame:
     """One split of a dataset; only that split's folder is read.
 
+    ``files`` is for datasets that tell splits by file name instead, a pattern with a
+    ``{split}`` slot such as ``{split}-*.parquet`` or ``{split}_dataset.json``.
+
     ``limit`` takes the first rows in the order of ``order_by``, since stored order means
     nothing once files are read in parallel; ``None`` and 0 take all.
     """
@@ -35,8 +39,11 @@ def load_dataset(
         reader = reader.schema(schema)
     elif file_format in ("json", "csv"):
         raise ValueError(f"{file_format} files need a schema")
-    df = reader.load(dataset_path(root, name, config))
-    df = df.filter(F.col("split") == split).drop("split")
+    path = dataset_path(root, name, config)
+    if files:
+        df = reader.load(f"{path}/{files.format(split=split)}")
+    else:
+        df = reader.load(path).filter(F.col("split") == split).drop("split")
     if limit and order_by is None:
         raise ValueError("a limit needs order_by")
     return take_first(df, limit, order_by) if limit else df

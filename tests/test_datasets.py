@@ -54,3 +54,13 @@ def test_guards(spark, tmp_path):
         datasets.load_dataset(spark, str(tmp_path), "d", limit=2)
     with pytest.raises(ValueError):
         datasets.load_dataset(spark, str(tmp_path), "d", file_format="json")
+
+
+def test_splits_told_by_file_name(spark, tmp_path):
+    folder = tmp_path / "d"
+    folder.mkdir()
+    (folder / "train_dataset.json").write_text('{"id": 1}\n{"id": 2}\n')
+    (folder / "test_dataset.json").write_text('{"id": 3}\n')
+    options = {"schema": "id long", "file_format": "json", "files": "{split}_dataset.json"}
+    got = datasets.load_splits(spark, str(tmp_path), "d", ["train", "test"], **options)
+    assert {name: sorted(r.id for r in df.collect()) for name, df in got.items()} == {"train": [1, 2], "test": [3]}
