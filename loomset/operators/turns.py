@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomset.operators.sampling import number_rows
+from loomset.operators.skew import HOT_ROWS
+
 # Turns held in one array. A longer conversation continues in further rows.
 TURNS_PER_ROW = 1024
 
@@ -16,18 +19,22 @@ def turns_to_messages(
     role: str = "role",
     text: str = "text",
     turns_per_row: int = TURNS_PER_ROW,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One ``messages`` array per conversation and ``part``, in turn order.
 
-    ``(conversation, turn)`` identifies a row and ``turn`` counts from 0. A row holds the turns
-    of one block of ``turns_per_row``, so no array and no task grows with the conversation; all
-    but very long conversations are one row with part 0.
+    ``turn`` is an integer that orders a conversation; gaps do not matter. A row holds up to
+    ``turns_per_row`` turns, so no array and no task grows with the conversation; all but very
+    long conversations are one row with part 0.
     """
+    numbered = number_rows(
+        turns.select(conversation, turn, role, text), conversation, turn, "_idx", hot_rows
+    )
     collected = F.array_sort(
-        F.collect_list(F.struct(F.col(turn), F.col(role).alias("role"), F.col(text).alias("content")))
+        F.collect_list(F.struct("_idx", F.col(role).alias("role"), F.col(text).alias("content")))
     )
     return (
-        turns.groupBy(conversation, F.floor(F.col(turn) / F.lit(turns_per_row)).alias("part"))
+        numbered.groupBy(conversation, F.expr(f"(_idx - 1) div {int(turns_per_row)}").alias("part"))
         .agg(collected.alias("_turns"))
         .select(
             conversation,

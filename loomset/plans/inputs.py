@@ -86,14 +86,14 @@ REWARDS_SQL = rf"""
 
 
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, part, messages`` with turn numbers as their block says."""
+    """``conv_id, part, messages``, in turn order."""
     return turns_to_messages(table(spark, sf_dir, "conversations"))
 
 
 TURNS_SQL = """
-    SELECT conv_id, turn // 1024 AS part, turn, role, text,
-           row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY turn) - 1 AS pos
-    FROM conversations"""
+    SELECT conv_id, idx // 1024 AS part, turn, role, text, idx % 1024 AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx
+          FROM conversations)"""
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,10 +91,11 @@ def test_sql_conversation_leaves_the_schema_out_unless_asked(spark):
     assert got[1][0].content == "S: CREATE"
 
 
-def test_long_conversations_continue_in_further_rows(spark):
+@pytest.mark.parametrize("hot_rows", [100_000, 10])
+def test_long_conversations_continue_in_further_rows(spark, hot_rows):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(25)] + [(2, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    whole = turns.turns_to_messages(df, turns_per_row=10)
+    whole = turns.turns_to_messages(df, turns_per_row=10, hot_rows=hot_rows)
     sizes = {(r.conv_id, r.part): len(r.messages) for r in whole.collect()}
     assert sizes == {(1, 0): 10, (1, 1): 10, (1, 2): 5, (2, 0): 1}
     back = turns.messages_to_turns(whole, "conv_id", "part").select(
@@ -107,6 +108,16 @@ def test_long_conversations_continue_in_further_rows(spark):
     assert {tuple(r) for r in picks.collect()} == {(1, "t0", "t23"), (2, None, "none")}
 
 
+def test_gaps_and_copies_keep_arrays_short(spark):
+    rows = [(1, 10**12 * t, "user", f"t{t}") for t in range(7)] + [(2, 5, "user", "same")] * 95
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = turns.turns_to_messages(df, turns_per_row=10, hot_rows=50)
+    sizes = sorted((r.conv_id, r.part, len(r.messages)) for r in got.collect())
+    assert sizes == [(1, 0, 7)] + [(2, p, 10) for p in range(9)] + [(2, 9, 5)]
+    first = got.filter("conv_id = 1").first().messages
+    assert [m.content for m in first] == [f"t{t}" for t in range(7)]
+
+
 def test_previews(spark):
     chats = messages(spark, [[("user", f"u{i}"), ("assistant", f"a{i}")] for i in range(9)])
     rows = [tuple(r) for r in preview.preview_chat(chats, "i").collect()]
