@@ -162,7 +162,13 @@ def row_digest(df: DataFrame, seed: int, key: str | list[str] | None = None) ->
 
 
 def _row_text(df: DataFrame) -> Column:
-    return F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]), {"ignoreNullFields": "false"})
+    """The whole row as JSON, times in full, so that only identical rows read alike."""
+    options = {
+        "ignoreNullFields": "false",
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    }
+    return F.to_json(F.struct(*[F.col(f"`{name}`") for name in df.columns]), options)
 
 
 def _first_bound(df: DataFrame, n: int, name: str) -> Column:

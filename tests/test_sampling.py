@@ -103,6 +103,20 @@ def test_samples_of_copies_are_exact(rows, n, key):
     assert got.exceptAll(rows).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, "k"])
+def test_rows_a_microsecond_apart_are_not_copies(spark, key):
+    df = spark.range(0, 400, 1, 3).select(
+        F.lit(1).alias("k"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).alias("t"),
+        F.timestamp_micros(F.col("id")).cast("timestamp_ntz").alias("u"),
+    )
+    got = seeded_sample(df, 150, 4, key)
+    assert got.count() == got.distinct().count() == 150
+    parts = train_test_split(df, 0.3, 4, key)
+    assert bag(parts["test"].unionByName(parts["train"])) == bag(df)
+    assert bag(take_first(df, 150, "k", top_rows=10).distinct()) == bag(take_first(df, 150, "k", top_rows=10))
+
+
 @pytest.mark.parametrize("key", [None, "key"])
 @pytest.mark.parametrize("size", [0.0, 0.2, 0.5, 0.77, 1.0, 0, 17, 6_500])
 def test_split_is_whole_and_exact(rows, size, key):
