@@ -54,9 +54,12 @@ def join_hot(
 
     Rows of ``many`` with a hot key go to the task chosen by the partition they come from, and
     the matching row of ``one`` is repeated for each of those tasks. All other keys are joined
-    as usual. It is always a sort-merge join: both sides may be large, it can spill, and a
-    broadcast would go by the compressed size of files. The salt depends on the partition and not on chance, so a task that is run again
-    produces the same rows. ``hot`` is the result of ``hot_hashes`` where it is known already.
+    as usual. The salt depends on the partition, not on chance, row order or content, so a task
+    that is run again sends every row to the same place.
+
+    It is always a sort-merge join: both sides may be large, a sort can spill, and Spark would
+    decide on a broadcast by the compressed size of files. ``hot`` is the result of
+    ``hot_hashes`` where it is known already.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep the right side whole when salted")
