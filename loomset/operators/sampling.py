@@ -117,21 +117,26 @@ def number_rows(
     order_by: str,
     number: str = "idx",
     hot_rows: int = HOT_ROWS,
-    block: int = 65_536,
+    block_rows: int = 65_536,
 ) -> DataFrame:
     """1-based position of each row in its group; ``order_by`` is an integer, unique in a group.
 
     Groups are ranked in one task each, except hot ones: those are cut into blocks of the order
-    value, ranked block by block, and completed by the sizes of the blocks before, one small
-    row each.
+    value, of about ``block_rows`` rows where values are evenly spread, ranked block by block,
+    and completed by the sizes of the blocks before, one small row each.
     """
     place = F.row_number().over(Window.partitionBy(group).orderBy(order_by)).cast("long")
     hot = hot_hashes(df, [group], hot_rows)
     if not hot:
         return df.withColumn(number, place)
     is_hot = key_hash([group]).isin(hot)
+    value = F.col(order_by)
+    span = df.filter(is_hot).agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n")
+    ).first()
+    width = max(1, ((span.high or 0) - (span.low or 0)) * block_rows // span.n)
     # Structs compare equal on NULL fields, so rows without a group are numbered as well.
-    spot = F.struct(F.col(group).alias("of"), F.floor(F.col(order_by) / F.lit(block)).alias("at"))
+    spot = F.struct(F.col(group).alias("of"), F.floor(value / F.lit(float(width))).alias("at"))
     blocks = df.filter(is_hot).withColumn("_block", spot)
     inside = Window.partitionBy("_block").orderBy(order_by)
     earlier = (

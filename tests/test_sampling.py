@@ -132,13 +132,14 @@ def test_split_size_is_checked(rows):
         assign_split(rows, 1.5, 1)
 
 
-@pytest.mark.parametrize("hot_rows", [100_000, 500])
-def test_number_rows(spark, hot_rows):
+@pytest.mark.parametrize("scale", [1, 37, -(10**12)])
+@pytest.mark.parametrize("hot_rows, block_rows", [(100_000, 1), (500, 100), (500, 10_000)])
+def test_number_rows(spark, hot_rows, block_rows, scale):
     df = spark.range(0, 4_000, 1, 5).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.hex(F.col("id") % 50)).alias("g"),
-        (F.col("id") * 37).alias("at"),
+        (F.col("id") * scale).alias("at"),
     )
-    got = number_rows(df, "g", "at", hot_rows=hot_rows, block=1_000)
+    got = number_rows(df, "g", "at", hot_rows=hot_rows, block_rows=block_rows)
     assert got.columns == ["g", "at", "idx"]
     want = {}
     for r in sorted(df.collect(), key=lambda r: r.at):
