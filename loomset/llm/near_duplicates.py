@@ -8,11 +8,11 @@ every coordinate is filled, two sets agree in a coordinate with the probability
 similarity, and the share of equal coordinates concentrates about it.
 
 Equal texts are one class. Classes whose sketches agree in all coordinates of a band meet in its
-bucket, and there each is compared with the smallest; what has not become one component by that is
-compared further, most similar first, and only across components. So a bucket that holds a third
-of all classes costs about as many comparisons as it has members, and no pair that may be linked
-is left out: rounds go on until no bucket has an untested pair of different components left whose
-sketches may belong to similar sets. Links are confirmed on full sets.
+bucket, and there each is compared with the smallest. Where that leaves several components in a
+bucket, its members are compared further, only across components and only if their sketches may
+belong to similar sets, most similar first, until all that are linked are joined. So most members
+of a large bucket are compared once, no pair that may be linked is left out, and pairs never leave
+the task that compares them. Links are confirmed on full sets.
 
 With 32 bands of 4 coordinates a pair of similarity 0.75 shares no bucket with probability 5e-6;
 similar sketches means an estimate of 0.55, five standard deviations below 0.75.
@@ -24,12 +24,10 @@ their component, or none. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +42,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 LIKELY = 0.55
-# Members of a bucket that one task compares with each other; how many partners a member gets in
-# the first round, and by how much the number grows with each round.
-BLOCK = 2048
-PARTNERS, GROWTH = 4, 16
+# Members of a bucket in a block; a task compares two blocks with each other.
+BLOCK = 1024
 
 _PIECE = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -79,93 +75,161 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return values, powers, backwards, factors, seeds
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z in lower case."""
+def _hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in folded bytes, and a 64-bit hash of each."""
     values, powers, backwards, _, _ = per_worker("shingle tables", _tables)
-    raw = text.encode().translate(_FOLD)
-    found, at = [], 0
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = raw != 0x20
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    running = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * powers[: len(raw)], out=running[1:])
+    return starts, mix((running[ends] - running[starts]) * backwards[starts])
+
+
+def _pieces(raw: bytes) -> Iterator[np.ndarray]:
+    """Folded bytes in pieces that end after a space. Only a piece of one word can be long."""
+    at = 0
     while at < len(raw):
         end = len(raw)
         if end - at > _PIECE:
-            # A piece ends at a space; a single word that is longer is hashed by itself.
-            end = raw.rfind(b" ", at, at + _PIECE) + 1 or at
-            if end == at:
-                end = raw.find(b" ", at) + 1 or len(raw)
-        codes = np.frombuffer(raw, np.uint8, end - at, at)
-        if len(codes) >= len(powers) - 1 - (raw[end - 1] != 0x20):
-            found.append(np.array([hash_long(codes)], np.uint64))
-        else:
-            inside = np.zeros(len(codes) + 2, np.int8)
-            inside[1:-1] = codes != 0x20
-            edges = np.diff(inside)
-            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            running = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(values[codes] * powers[: len(codes)], out=running[1:])
-            found.append((running[ends] - running[starts]) * backwards[starts])
+            end = raw.rfind(b" ", at, at + _PIECE) + 1 or raw.find(b" ", at) + 1 or len(raw)
+        yield np.frombuffer(raw, np.uint8, end - at, at)
         at = end
-    return mix(np.concatenate(found)) if found else np.empty(0, np.uint64)
-
 
-def hash_long(codes: np.ndarray) -> int:
-    import hashlib
 
-    word = codes.tobytes().strip(b" ")
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of every word of a folded text of any length."""
+    found = [np.empty(0, np.uint64)]
+    for piece in _pieces(raw):
+        if len(piece) - (piece[-1] == 0x20) > 2 * _PIECE - 2:
+            word = piece.tobytes().strip(b" ")
+            digest = hashlib.blake2b(word, digest_size=8).digest()
+            found.append(np.array([int.from_bytes(digest, "little")], np.uint64))
+        else:
+            found.append(_hash_words(piece)[1])
+    return np.concatenate(found)
 
 
-def shingles(text: str) -> np.ndarray:
-    """The sorted hashes of the distinct shingles; of fewer than five words, the whole sequence."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
+def _hash_shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` words that follow each other."""
     factors = per_worker("shingle tables", _tables)[3]
-    n = max(1, len(words) - SHINGLE + 1)
-    used = min(SHINGLE, len(words))
-    total = np.full(n, used, np.uint64)
-    for i in range(used):
+    n = len(words) - size + 1
+    total = np.full(n, size, np.uint64)
+    for i in range(size):
         total += words[i : i + n] * factors[i]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingle_hashes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The shingles of all texts in bundles: the position of the bundle's first text, the hashes,
+    repeated ones included, and which text of the bundle each belongs to."""
+    folded = [text.encode().translate(_FOLD) for text in texts]
+    at = 0
+    while at < len(folded):
+        end, size = at, 0
+        while end < len(folded) and (end == at or size + len(folded[end]) < _PIECE):
+            size += len(folded[end]) + 1
+            end += 1
+        if end == at + 1:
+            words = word_hashes(folded[at])
+            items = _hash_shingles(words, min(SHINGLE, len(words))) if len(words) else words
+            yield at, items, np.zeros(len(items), np.int64)
+        else:
+            bundle = b" ".join(folded[at:end])
+            lengths = np.array([len(f) + 1 for f in folded[at:end]])
+            starts, words = _hash_words(np.frombuffer(bundle, np.uint8))
+            owner = np.searchsorted(np.cumsum(lengths), starts, side="right")
+            counts = np.bincount(owner, minlength=end - at)
+            items, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            if len(words) >= SHINGLE:
+                whole = owner[SHINGLE - 1 :] == owner[: 1 - SHINGLE]
+                items.append(_hash_shingles(words, SHINGLE)[whole])
+                owners.append(owner[: 1 - SHINGLE][whole])
+            first = np.cumsum(counts) - counts
+            for i in np.flatnonzero((counts > 0) & (counts < SHINGLE)):
+                items.append(_hash_shingles(words[first[i] : first[i] + counts[i]], counts[i]))
+                owners.append(np.array([i]))
+            yield at, np.concatenate(items), np.concatenate(owners)
+        at = end
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """One value per bin for a set that is not empty. A value holds the round it was set in."""
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text."""
+    found: list[np.ndarray] = []
+    for at, items, owners in shingle_hashes(texts):
+        found += [np.empty(0, np.uint64)] * (at - len(found))
+        order = np.argsort(owners, kind="stable")
+        items, owners = items[order], owners[order]
+        last = int(owners[-1]) + 1 if len(owners) else 0
+        cuts = np.searchsorted(owners, np.arange(1, last))
+        for own in np.split(items, cuts) if last else []:
+            own = np.sort(own)
+            found.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return found + [np.empty(0, np.uint64)] * (len(texts) - len(found))
+
+
+def sketches(items: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """A row of bins for each of ``n`` sets: ``items`` belong to ``owners``, repeated ones do no
+    harm. A value holds the round it was set in. Rows of empty sets mean nothing."""
     seeds = per_worker("shingle tables", _tables)[4]
-    bins = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    empty = np.ones(BINS, bool)
+    bins = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
+    empty = np.ones(n * BINS, bool)
     low = np.uint64((1 << 48) - 1)
     for i in range(BINS):
         mixed = mix(items ^ seeds[i])
-        at = (mixed >> np.uint64(50)).astype(np.intp) % BINS
+        at = owners * BINS + ((mixed >> np.uint64(50)) % np.uint64(BINS)).astype(np.int64)
         wanted = empty[at]
         at = at[wanted]
         np.minimum.at(bins, at, (mixed[wanted] & low) | np.uint64(i << 48))
         empty[at] = False
-        if not empty.any():
-            return bins
-    for b in np.flatnonzero(empty):
-        mixed = mix(items ^ seeds[BINS + b])
-        bins[b] = (mixed & low).min() | np.uint64((BINS + int(b)) << 48)
-    return bins
+        open_ = empty.reshape(n, BINS).any(axis=1)[owners]
+        items, owners = items[open_], owners[open_]
+        if not len(items):
+            break
+    for b in range(BINS) if len(items) else []:
+        at = owners * BINS + b
+        wanted = empty[at]
+        mixed = mix(items[wanted] ^ seeds[BINS + b])
+        np.minimum.at(bins, at[wanted], (mixed & low) | np.uint64((BINS + b) << 48))
+    return bins.reshape(n, BINS)
 
 
 def band_keys(bins: np.ndarray) -> np.ndarray:
-    rows = bins.reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
+    """A key for each band of each row of bins."""
+    rows = bins.reshape(len(bins), BANDS, ROWS)
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(bins), axis=0)
     for i in range(ROWS):
-        key = mix(key * _M2 + rows[:, i])
+        key = mix(key * _M2 + rows[:, :, i])
     return key.view(np.int64)
 
 
-def sketch_bytes(bins: np.ndarray) -> bytes:
+def sketch_bytes(bins: np.ndarray) -> np.ndarray:
     """A byte of each value: unequal values agree in one of 256 cases."""
-    return (mix(bins) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (mix(bins) >> np.uint64(56)).astype(np.uint8)
+
+
+def distinct_counts(items: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct items each of ``n`` sets has."""
+    if n == 1:
+        return np.array([len(np.unique(items))])
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    # The owner takes the upper bits; the hash gives up as many of its lowest.
+    keys = np.sort(owners.astype(np.uint64) << (np.uint64(64) - bits) | items >> bits)
+    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+    own = (keys[first] >> (np.uint64(64) - bits)).astype(np.int64)
+    return np.bincount(own, minlength=n)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets have PERCENT of their union in common."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < PERCENT * len(b):
         return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
@@ -174,19 +238,24 @@ def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, bytes_, bands = [], [], []
-        for content in texts_of(batch.column(2)):
-            items = shingles(content)
-            sizes.append(len(items))
-            bins = sketch(items) if len(items) else None
-            bytes_.append(None if bins is None else sketch_bytes(bins))
-            bands.append(None if bins is None else band_keys(bins))
+        texts = texts_of(batch.column(2))
+        sizes = np.zeros(len(texts), np.int64)
+        keys = np.zeros((len(texts), BANDS), np.int64)
+        short = np.zeros((len(texts), BINS), np.uint8)
+        for at, items, owners in shingle_hashes(texts):
+            n = int(owners.max()) + 1 if len(owners) else 0
+            if n:
+                bins = sketches(items, owners, n)
+                sizes[at : at + n] = distinct_counts(items, owners, n)
+                keys[at : at + n] = band_keys(bins)
+                short[at : at + n] = sketch_bytes(bins)
+        known = sizes > 0
         return pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:2],
-                pa.array(sizes, pa.int64()),
-                pa.array(bytes_, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())),
+                pa.array(sizes),
+                pa.array([s.tobytes() if k else None for s, k in zip(short, known, strict=True)]),
+                pa.array([s if k else None for s, k in zip(keys, known, strict=True)]),
             ],
             ["id", "digest", "n", "sketch", "bands"],
         )
@@ -225,15 +294,18 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, items = None, None
         for batch in batches:
-            keep = []
-            rows = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
-            for b, left, right in rows:
-                if b != last:
-                    last, items = b, shingles(right)
-                keep.append(linked(shingles(left), items))
-            mask = pa.array(keep, pa.bool_())
+            ids, texts = {}, []
+            for names, content in ((0, 2), (1, 3)):
+                for name, text in zip(
+                    batch.column(names).to_pylist(), batch.column(content).to_pylist(), strict=True
+                ):
+                    if name not in ids:
+                        ids[name] = len(texts)
+                        texts.append(text)
+            sets = shingle_sets(texts)
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            mask = pa.array([linked(sets[ids[a]], sets[ids[b]]) for a, b in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"]
             )
@@ -241,16 +313,67 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, partners: int) -> DataFrame:
-    """``a, b, more``: likely pairs of different components within a bucket.
+class _Parts:
+    """Components of a bucket's members, joined as links are found."""
+
+    def __init__(self, labels: np.ndarray):
+        self.names, self.of = np.unique(labels, return_inverse=True)
+
+    def join(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[i]] = self.of[j]
+
 
-    Members that are not in the component of their bucket's smallest get their ``partners`` most
-    similar ones of other components; ``more`` tells whether there were others. Buckets are held
-    against themselves in blocks.
+def _bucket_links(
+    parts: _Parts,
+    away: np.ndarray,
+    side: np.ndarray,
+    rows: np.ndarray,
+    bands: np.ndarray,
+    own: int,
+    texts: list[str],
+) -> list[tuple[int, int]]:
+    """Confirmed links, as positions, that join all components of a bucket which are linked in it.
+
+    Each member ``away`` from the component of the bucket's smallest is held against the likely
+    members of other components, most similar first, until none is left that is not joined yet.
+    Of a block and another one, only pairs between them count, and of the buckets that two members
+    share, only the first.
+    """
+    tries: list[tuple[int, np.ndarray]] = []
+    for i in np.flatnonzero(away):
+        at = np.flatnonzero((parts.of != parts.of[i]) & (side != side[i]))
+        near = (rows[at] == rows[i]).mean(axis=1)
+        at, near = at[near >= LIKELY], near[near >= LIKELY]
+        if len(at):
+            first = (bands[at] == bands[i]).argmax(axis=1) == own
+            at, near = at[first], near[first]
+            tries.append((i, at[np.argsort(-near, kind="stable")]))
+    if not tries:
+        return []
+    needed = np.unique(np.concatenate([np.append(at, i) for i, at in tries]))
+    sets = dict(zip(needed.tolist(), shingle_sets([texts[k] for k in needed]), strict=True))
+    found = []
+    for i, at in tries:
+        for j in at.tolist():
+            if parts.of[i] != parts.of[j] and linked(sets[i], sets[j]):
+                found.append((i, j))
+                parts.join(i, j)
+    return found
+
+
+def cross_links(
+    members: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame
+) -> DataFrame:
+    """``a, b``: links between different components within a bucket, enough to join all that are
+    linked. ``labels`` has the components so far.
+
+    Buckets are held against themselves in blocks, so that a task holds two blocks at most. Only
+    links leave a task, never the pairs that were compared.
     """
     labelled = members.join(labels.toDF("cid", "component"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid")
     )
+    # With two members the pair has been compared already.
     mixed = (
         labelled.groupBy("band")
         .agg(
@@ -263,51 +386,87 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, partn
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .select("band", "home", "blocks")
     )
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     spread = (
         labelled.join(mixed, "band")
-        .withColumn("block", own)
+        .join(classes.select("cid", "sketch", "bands"), "cid")
+        .join(texts, "cid")
+        .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(classes.select("cid", "sketch"), "cid")
         .select(
             "band",
+            F.least("block", "other").alias("one"),
+            F.greatest("block", "other").alias("two"),
             "cid",
             "component",
-            "sketch",
+            (F.col("component") != F.col("home")).alias("away"),
             "block",
-            (F.col("component") == F.col("home")).alias("at_home"),
-            F.least("block", "other").alias("one"),
-            F.greatest("block", "other").alias("two"),
+            "sketch",
+            "bands",
+            "text",
         )
     )
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cid", ignore_index=True)
-        ids, parts = group["cid"].to_numpy(), group["component"].to_numpy()
-        block = group["block"].to_numpy()
-        split = group["one"].iloc[0] != group["two"].iloc[0]
-        rows = np.frombuffer(b"".join(map(bytes, group["sketch"])), np.uint8).reshape(-1, BINS)
-        found = []
-        for i in np.flatnonzero(~group["at_home"].to_numpy()):
-            other = parts != parts[i]
-            if split:
-                other &= block != block[i]
-            at = np.flatnonzero(other)
-            near = (rows[at] == rows[i]).mean(axis=1)
-            at, near = at[near >= LIKELY], near[near >= LIKELY]
-            if len(at):
-                best = at[np.argsort(-near, kind="stable")[:partners]]
-                found += [(max(ids[i], ids[j]), min(ids[i], ids[j]), len(at) > partners) for j in best]
-        return pd.DataFrame(found, columns=["a", "b", "more"])
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by bucket and blocks; a bucket may go over several batches."""
+        held: list[pa.RecordBatch] = []
 
+        def compare(table: pa.Table) -> pa.RecordBatch:
+            band, one, two, ids, components, away, block = (
+                table.column(i).to_numpy(zero_copy_only=False) for i in range(7)
+            )
+            rows = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            bands = np.array(table.column(8).to_pylist(), np.int64).reshape(-1, BANDS)
+            texts = table.column(9).to_pylist()
+            change = (band[1:] != band[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(band)]
+            found = []
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                # Within one block everyone may meet everyone.
+                side = block[x:y] if one[x] != two[x] else np.arange(y - x)
+                own = int(np.flatnonzero(bands[x] == band[x])[0])
+                links = _bucket_links(
+                    _Parts(components[x:y]),
+                    away[x:y],
+                    side,
+                    rows[x:y],
+                    bands[x:y],
+                    own,
+                    texts[x:y],
+                )
+                found += [(int(ids[x + i]), int(ids[x + j])) for i, j in links]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)], ["a", "b"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            tail = _bucket_of(batch, -1)
+            differs = np.logical_or.reduce([c != t for c, t in zip(same, tail, strict=True)])
+            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            if cut or (held and _bucket_of(held[-1], -1) != tail):
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    keys = ["band", "one", "two"]
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        spread.groupBy("band", "one", "two")
-        .applyInPandas(pairs, "a bigint, b bigint, more boolean")
-        .groupBy("a", "b")
-        .agg(F.max("more").alias("more"))
+        spread.repartition(tasks, *keys)
+        .sortWithinPartitions(*keys, "cid")
+        .mapInArrow(buckets, "a bigint, b bigint")
     )
 
 
+def _bucket_of(batch: pa.RecordBatch, row: int) -> list:
+    row = batch.num_rows + row if row < 0 else row
+    return [column[row].as_py() for column in batch.columns[:3]]
+
+
 def link_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """``node, component`` of the classes that are linked with others. ``classes`` has ``cid, id,
     digest, sketch, bands``, ``documents`` has ``id, digest, text``."""
@@ -331,30 +490,14 @@ def link_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
     texts = documents.join(wanted, "digest").filter(F.col("id").eqNullSafe(F.col("own")))
     texts = materialise(texts.select("cid", "text").dropDuplicates(["cid"]), "texts")
 
-    tested = materialise(likely_pairs(stars, classes), "tested")
-    links = [materialise(confirm(tested, texts), "confirmed")]
-    done = [stars.select("a", "b")]
-    labels = materialise(connected_components(links[0].toDF("u", "v")), "labels")
-    partners = PARTNERS
-    while True:
-        found = materialise(cross_pairs(members, classes, labels, partners), "pairs")
-        new = materialise(
-            found.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti"), "pairs"
-        )
-        counts = found.agg(F.max(F.col("more").cast("int")).alias("more")).first()
-        if new.isEmpty():
-            fresh = False
-        else:
-            links.append(materialise(confirm(new.select("a", "b"), texts), "confirmed"))
-            done.append(new.select("a", "b"))
-            fresh = not links[-1].isEmpty()
-        if fresh:
-            every = reduce(DataFrame.unionByName, links).toDF("u", "v")
-            labels = materialise(connected_components(every), "labels")
-        # Without ``more`` every likely pair of different components has been tested.
-        if not counts.more:
-            return labels
-        partners *= GROWTH
+    likely = materialise(likely_pairs(stars, classes), "likely")
+    star_links = materialise(confirm(likely, texts).toDF("u", "v"), "confirmed")
+    labels = materialise(connected_components(star_links), "labels")
+    # What the stars left apart: links between components, added to one link per member.
+    cross = materialise(cross_links(members, classes, texts, labels).toDF("u", "v"), "cross")
+    if cross.isEmpty():
+        return labels
+    return materialise(connected_components(labels.toDF("u", "v").unionByName(cross)), "labels")
 
 
 def grouped(df: DataFrame, key: str, text: str) -> DataFrame:
