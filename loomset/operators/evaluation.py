@@ -57,15 +57,24 @@ def answer_examples(
     )
 
 
-def accuracy(scored: DataFrame, *by: str, score: str = "reward") -> DataFrame:
+def accuracy(
+    scored: DataFrame, *by: str, score: str = "reward", examples: DataFrame | None = None
+) -> DataFrame:
     """Accuracy, number of examples and sum of rewards, overall or per model.
 
-    Overall figures of an empty table are 0.0, 0 and 0.0.
+    With ``examples``, the table that was asked, an example without an answer counts as a wrong
+    one: every model is measured on all examples, which are counted once. Without it only what
+    has been answered counts. Overall figures of an empty table are 0.0, 0 and 0.0.
     """
+    right = F.coalesce(F.sum(score), F.lit(0.0))
+    if examples is None:
+        total, mean = F.count(F.lit(1)), F.coalesce(F.avg(score), F.lit(0.0))
+    else:
+        n = examples.count()
+        total = F.lit(n).cast("bigint")
+        mean = right / F.lit(n) if n else F.lit(0.0)
     return scored.groupBy(*by).agg(
-        F.coalesce(F.avg(score), F.lit(0.0)).alias("accuracy"),
-        F.count(F.lit(1)).alias("total_examples"),
-        F.coalesce(F.sum(score), F.lit(0.0)).alias("correct_predictions"),
+        mean.alias("accuracy"), total.alias("total_examples"), right.alias("correct_predictions")
     )
 
 

@@ -33,9 +33,32 @@ def build_pairs(
 
     The prompt is the last human value. Both sides carry the system prompt, though the
     response was generated without it. ``status`` is ``ok``, ``no_prompt`` (both sides are the
-    error pair) or ``no_response``. Pairs whose sides are equal are kept unless told otherwise.
+    error pair), ``no_response``, or ``error`` if ``df`` has an ``error`` that is not NULL: the
+    response then is its text, and no answer of the model. Pairs whose sides are equal are kept
+    unless told otherwise.
     """
+    return _pairs(
+        _with_prompt(df), positive, organization, *keep,
+        system_prompt=system_prompt, drop_identical=drop_identical,
+    )
+
+
+def _with_prompt(df: DataFrame) -> DataFrame:
+    """``_asked`` and ``_prompt`` in the place of ``conversations``."""
     said = F.col("conversations")
+    return df.withColumns(
+        {"_asked": chat.has_speaker(said, "human"), "_prompt": chat.last_value(said, "human")}
+    ).drop("conversations")
+
+
+def _pairs(
+    df: DataFrame,
+    positive: str,
+    organization: str,
+    *keep: str,
+    system_prompt: str,
+    drop_identical: bool,
+) -> DataFrame:
     prompt = F.col("_prompt")
     rejected = F.col("_rejected")
     asked = F.col("_asked")
@@ -50,13 +73,8 @@ def build_pairs(
         return F.when(asked, turns).otherwise(error_pair)
 
     chosen = text.literal_replace(rejected, organization, positive)
-    found = df.withColumns(
-        {
-            "_asked": chat.has_speaker(said, "human"),
-            "_prompt": chat.last_value(said, "human"),
-            "_rejected": F.coalesce(F.col("response"), F.lit(MISSING_RESPONSE)),
-        }
-    )
+    found = df.withColumn("_rejected", F.coalesce(F.col("response"), F.lit(MISSING_RESPONSE)))
+    failed = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
     if drop_identical:
         found = found.filter(asked & (chosen != rejected))
     return found.select(
@@ -64,6 +82,7 @@ def build_pairs(
         side(chosen).alias("chosen"),
         side(rejected).alias("rejected"),
         F.when(~asked, "no_prompt")
+        .when(failed, "error")
         .when(F.col("response").isNull(), "no_response")
         .otherwise("ok")
         .alias("status"),
@@ -78,10 +97,11 @@ def generate_pairs(
     *keep: str,
     system_prompt: str = chat.ASSISTANT_SYSTEM_PROMPT,
     style: str = "chatml",
+    drop_identical: bool = False,
     **settings: Any,
 ) -> DataFrame:
     """Pairs from conversations alone: the caller's model answers each prompt, without a system
-    turn. What the model raises becomes the text of the answer."""
+    turn. What the model raises becomes the text of the answer, with status ``error``."""
     human = chat.last_value(F.col("conversations"), "human")
     asked = F.when(
         chat.has_speaker(F.col("conversations"), "human"),
@@ -89,7 +109,12 @@ def generate_pairs(
     )
     answered = generate_responses(df, make_generate, asked, **settings)
     return answered.withColumn("response", response_or_error()).transform(
-        build_pairs, positive, organization, *keep, system_prompt=system_prompt
+        build_pairs,
+        positive,
+        organization,
+        *keep,
+        system_prompt=system_prompt,
+        drop_identical=drop_identical,
     )
 
 
@@ -103,12 +128,12 @@ def pairs_from_responses(
     system_prompt: str = chat.ASSISTANT_SYSTEM_PROMPT,
     drop_identical: bool = False,
 ) -> DataFrame:
-    """Pairs from conversations and a table of stored responses, one ``response`` per key."""
-    return join_hot(df, responses.select(key, "response"), key, "left").transform(
-        build_pairs,
-        positive,
-        organization,
-        *keep,
-        system_prompt=system_prompt,
-        drop_identical=drop_identical,
+    """Pairs from conversations and a table of stored responses, one ``response`` per key; a key
+    with two responses gives two pairs. Of a conversation only the last prompt goes through the
+    join."""
+    asked = _with_prompt(df).select(*dict.fromkeys([key, *keep]), "_asked", "_prompt")
+    stored = responses.select(key, "response", *[c for c in responses.columns if c == "error"])
+    return _pairs(
+        join_hot(asked, stored, key, "left"), positive, organization, *keep,
+        system_prompt=system_prompt, drop_identical=drop_identical,
     )

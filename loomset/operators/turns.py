@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from loomset.operators.sampling import number_rows
 from loomset.operators.skew import HOT_ROWS
 
-# Turns held in one array. A longer conversation continues in further rows.
-TURNS_PER_ROW = 1024
-
 
 def turns_to_messages(
     turns: DataFrame,
@@ -18,37 +15,45 @@ def turns_to_messages(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    turns_per_row: int = TURNS_PER_ROW,
+    turns_per_row: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One ``messages`` array per conversation and ``part``, in turn order.
+    """One ``messages`` array per conversation, in turn order.
 
-    ``turn`` is an integer that orders a conversation; gaps do not matter. A row holds up to
-    ``turns_per_row`` turns, so no array and no task grows with the conversation; all but very
-    long conversations are one row with part 0.
+    ``turn`` orders a conversation; gaps do not matter, and equal turns are ordered by role and
+    text. A row holds the whole conversation, which is the record asked for; picks and counts
+    need no such row, see ``pick_turns``. Callers whose conversations do not fit into a row may ask
+    for ``turns_per_row``, with ``turn`` an integer: rows then also have a ``part``, counted from
+    0, and hold so many turns each.
     """
-    numbered = number_rows(
-        turns.select(conversation, turn, role, text), conversation, turn, "_idx", hot_rows
-    )
+    rows = turns.select(conversation, turn, role, text)
+    if turns_per_row is None:
+        keys, order = [conversation], turn
+    else:
+        rows = number_rows(rows, conversation, turn, "_idx", hot_rows).withColumn(
+            "part", F.expr(f"(_idx - 1) div {int(turns_per_row)}")
+        )
+        keys, order = [conversation, "part"], "_idx"
     collected = F.array_sort(
-        F.collect_list(F.struct("_idx", F.col(role).alias("role"), F.col(text).alias("content")))
-    )
-    return (
-        numbered.groupBy(conversation, F.expr(f"(_idx - 1) div {int(turns_per_row)}").alias("part"))
-        .agg(collected.alias("_turns"))
-        .select(
-            conversation,
-            "part",
-            F.transform(
-                "_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
-            ).alias("messages"),
+        F.collect_list(
+            F.struct(F.col(order).alias("at"), F.col(role).alias("role"), F.col(text).alias("content"))
         )
     )
+    plain = F.transform(
+        "_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
+    )
+    return rows.groupBy(*keys).agg(collected.alias("_turns")).select(*keys, plain.alias("messages"))
+
 
+def messages_to_turns(
+    df: DataFrame, *keep: str, messages: str = "messages", keep_empty: bool = False
+) -> DataFrame:
+    """One row per message with its 0-based position, the reverse of ``turns_to_messages``.
 
-def messages_to_turns(df: DataFrame, *keep: str, messages: str = "messages") -> DataFrame:
-    """One row per message with its 0-based position, the reverse of ``turns_to_messages``."""
-    return df.select(*keep, F.posexplode(messages).alias("pos", "_m")).select(
+    With ``keep_empty`` a row without messages gives one row whose position is NULL.
+    """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return df.select(*keep, explode(messages).alias("pos", "_m")).select(
         *keep, "pos", F.col("_m.role").alias("role"), F.col("_m.content").alias("content")
     )
 

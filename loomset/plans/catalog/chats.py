@@ -9,74 +9,72 @@ from loomset.plans import inputs
 from loomset.plans.catalog.registry import query
 
 FLAT_TURNS_SQL = f"""
-    SELECT conv_id, part, pos::INTEGER AS pos, role, text AS content FROM ({inputs.TURNS_SQL})"""
+    SELECT conv_id, pos::INTEGER AS pos, role, text AS content FROM ({inputs.TURNS_SQL})"""
 
 IDENTITY_SQL = f"""
-    SELECT conv_id, part, turn, CASE role WHEN 'user' THEN 'human' ELSE role END AS speaker, text
+    SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' ELSE role END AS speaker, text
     FROM ({inputs.TURNS_SQL})"""
 
 
 @query(f"""
-    SELECT conv_id, part, count(*)::INTEGER AS n_messages,
+    SELECT conv_id, count(*)::INTEGER AS n_messages,
            string_agg(role || ':' || text, '|' ORDER BY turn) AS joined
-    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id, part""")
+    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id""")
 def chat_messages(spark, sf_dir):
     joined = F.array_join(
         F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"
     )
     return inputs.chat_rows(spark, sf_dir).select(
-        "conv_id", "part", F.size("messages").alias("n_messages"), joined.alias("joined")
+        "conv_id", F.size("messages").alias("n_messages"), joined.alias("joined")
     )
 
 
 @query(FLAT_TURNS_SQL)
 def message_turns(spark, sf_dir):
-    return turns.messages_to_turns(inputs.chat_rows(spark, sf_dir), "conv_id", "part")
+    return turns.messages_to_turns(inputs.chat_rows(spark, sf_dir), "conv_id")
 
 
 @query(f"""
-    SELECT conv_id, part,
+    SELECT conv_id,
            CASE WHEN count(*) FILTER (WHERE role = 'user') > 0
                 THEN min_by(text, turn) FILTER (WHERE role = 'user')
                 ELSE 'No user message found' END AS user_prompt,
            CASE WHEN count(*) FILTER (WHERE role = 'assistant') > 0
                 THEN min_by(text, turn) FILTER (WHERE role = 'assistant')
                 ELSE 'No assistant message found' END AS assistant_response
-    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id, part""")
+    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id""")
 def first_by_role(spark, sf_dir):
     messages = F.col("messages")
     return inputs.chat_rows(spark, sf_dir).select(
         "conv_id",
-        "part",
         chat.first_content(messages, "user", chat.NO_USER_MESSAGE).alias("user_prompt"),
         chat.first_content(messages, "assistant", chat.NO_ASSISTANT_MESSAGE).alias("assistant_response"),
     )
 
 
 @query(f"""
-    SELECT conv_id, part,
+    SELECT conv_id,
            coalesce(max_by(text, turn) FILTER (WHERE speaker = 'human'), 'No human message') AS user_prompt,
            coalesce(max_by(text, turn) FILTER (WHERE speaker = 'assistant'), 'No assistant message')
                AS assistant_response
-    FROM ({IDENTITY_SQL}) GROUP BY conv_id, part""")
+    FROM ({IDENTITY_SQL}) GROUP BY conv_id""")
 def last_by_speaker(spark, sf_dir):
     said = F.col("conversations")
     return inputs.identity(spark, sf_dir).select(
         "conv_id",
-        "part",
         chat.last_value(said, "human", chat.NO_HUMAN_VALUE).alias("user_prompt"),
         chat.last_value(said, "assistant", chat.NO_ASSISTANT_VALUE).alias("assistant_response"),
     )
 
 
 @query(f"""
-    SELECT conv_id, part, max_by(text, turn) FILTER (WHERE speaker = 'human') AS prompt,
+    SELECT conv_id, max_by(text, turn) FILTER (WHERE speaker = 'human') AS prompt,
            count(*) FILTER (WHERE speaker = 'human') > 0 AS asked
-    FROM ({IDENTITY_SQL}) GROUP BY conv_id, part""")
+    FROM ({IDENTITY_SQL}) GROUP BY conv_id""")
 def last_human_prompt(spark, sf_dir):
     said = F.col("conversations")
     return inputs.identity(spark, sf_dir).select(
-        "conv_id", "part",
+        "conv_id",
         chat.last_value(said, "human").alias("prompt"),
         chat.has_speaker(said, "human").alias("asked"),
     )
@@ -96,8 +94,8 @@ def whole_conversation_picks(spark, sf_dir):
 
 
 @query(f"""
-    SELECT conv_id, part, role, count(*)::INTEGER AS n FROM ({inputs.TURNS_SQL})
-    GROUP BY conv_id, part, role""")
+    SELECT conv_id, role, count(*)::INTEGER AS n FROM ({inputs.TURNS_SQL})
+    GROUP BY conv_id, role""")
 def messages_of_role(spark, sf_dir):
     counted = F.array(*[
         F.struct(F.lit(role).alias("role"), F.size(chat.of_role(F.col("messages"), role)).alias("n"))
@@ -105,7 +103,7 @@ def messages_of_role(spark, sf_dir):
     ])
     return (
         inputs.chat_rows(spark, sf_dir)
-        .select("conv_id", "part", F.inline(counted).alias("role", "n"))
+        .select("conv_id", F.inline(counted).alias("role", "n"))
         .filter("n > 0")
     )
 
@@ -171,25 +169,25 @@ def sql_conversation_with_schema(spark, sf_dir):
 
 
 @query(f"""
-    SELECT conv_id, part, string_agg(
+    SELECT conv_id, string_agg(
                CASE role WHEN 'system' THEN 'System: ' || text || chr(10) || chr(10)
                          WHEN 'user' THEN 'User: ' || text || chr(10) || chr(10)
                          WHEN 'assistant' THEN 'Assistant: ' || text || ' <|endoftext|>' || chr(10)
                          ELSE '' END, '' ORDER BY turn) AS text
-    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id, part""")
+    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id""")
 def render_plain(spark, sf_dir):
     return inputs.chat_rows(spark, sf_dir).select(
-        "conv_id", "part", chat.render(F.col("messages")).alias("text")
+        "conv_id", chat.render(F.col("messages")).alias("text")
     )
 
 
 @query(f"""
-    SELECT conv_id, part, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10),
+    SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10),
                '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS text
-    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id, part""")
+    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id""")
 def render_chatml(spark, sf_dir):
     text = chat.render(F.col("messages"), "chatml", generation_prompt=True)
-    return inputs.chat_rows(spark, sf_dir).select("conv_id", "part", text.alias("text"))
+    return inputs.chat_rows(spark, sf_dir).select("conv_id", text.alias("text"))
 
 
 
@@ -199,9 +197,9 @@ def render_chatml(spark, sf_dir):
                AS "User Prompt",
            coalesce(min_by(text, turn) FILTER (WHERE role = 'assistant'), 'No assistant message found')
                AS "Assistant Response"
-    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id, part ORDER BY conv_id, part LIMIT 3""")
+    FROM ({inputs.TURNS_SQL}) GROUP BY conv_id ORDER BY conv_id LIMIT 3""")
 def chat_preview(spark, sf_dir):
-    return preview.preview_chat(inputs.chat_rows(spark, sf_dir), ["conv_id", "part"])
+    return preview.preview_chat(inputs.chat_rows(spark, sf_dir), "conv_id")
 
 
 @query(f"""
@@ -209,9 +207,9 @@ def chat_preview(spark, sf_dir):
                AS "User Prompt",
            coalesce(max_by(text, turn) FILTER (WHERE speaker = 'assistant'), 'No assistant message')
                AS "Assistant Response"
-    FROM ({IDENTITY_SQL}) GROUP BY conv_id, part ORDER BY conv_id, part LIMIT 5""")
+    FROM ({IDENTITY_SQL}) GROUP BY conv_id ORDER BY conv_id LIMIT 5""")
 def conversation_preview(spark, sf_dir):
-    return preview.preview_conversations(inputs.identity(spark, sf_dir), ["conv_id", "part"])
+    return preview.preview_conversations(inputs.identity(spark, sf_dir), "conv_id")
 
 
 @query(f"SELECT o_orderkey, question, answer FROM ({inputs.MATH_SQL}) ORDER BY o_orderkey LIMIT 5")

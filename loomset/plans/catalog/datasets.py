@@ -22,9 +22,9 @@ def training_split(spark, sf_dir):
     root = shared_path(spark, "datasets")
     chats = inputs.chat_rows(spark, sf_dir).select("*", _split("conv_id"))
     datasets.write_dataset(chats, root, "chats")
-    schema = f"conv_id long, part long, {schemas.CHAT}"
+    schema = f"conv_id long, {schemas.CHAT}"
     stored = datasets.load_dataset(spark, root, "chats", schema=schema)
-    return turns.messages_to_turns(stored, "conv_id", "part")
+    return turns.messages_to_turns(stored, "conv_id", keep_empty=True)
 
 
 @query(f"SELECT * FROM ({inputs.MATH_SQL}) WHERE o_orderkey % 5 = 0")
@@ -66,9 +66,9 @@ def text_to_sql_source(spark, sf_dir):
 @query(FLAT_TURNS_SQL)
 def jsonl_round_trip(spark, sf_dir):
     chats = inputs.chat_rows(spark, sf_dir)
-    schema = f"conv_id long, part long, {schemas.CHAT}"
+    schema = f"conv_id long, {schemas.CHAT}"
     _, stored = datasets.write_and_reread({"train": chats}, shared_path(spark, "jsonl"), schema)
-    return turns.messages_to_turns(stored, "conv_id", "part")
+    return turns.messages_to_turns(stored, "conv_id", keep_empty=True)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1000")
@@ -129,12 +129,12 @@ def text_to_sql_training(spark, sf_dir):
 
 
 @query(f"""
-    SELECT conv_id, part, count(*)::INTEGER AS n_messages FROM ({inputs.TURNS_SQL}) GROUP BY conv_id, part""")
+    SELECT conv_id, count(*)::INTEGER AS n_messages FROM ({inputs.TURNS_SQL}) GROUP BY conv_id""")
 def row_mapper(spark, sf_dir):
     """A mapper is a function from table to table that keeps only what it computes."""
 
     def mapper(df):
-        return df.select("conv_id", "part", F.size(chat.of_role(F.col("messages"), "user")).alias("asked"),
+        return df.select("conv_id", F.size(chat.of_role(F.col("messages"), "user")).alias("asked"),
                          F.size("messages").alias("n_messages"))
 
     return inputs.chat_rows(spark, sf_dir).transform(mapper).drop("asked")

@@ -86,20 +86,20 @@ REWARDS_SQL = rf"""
 
 
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, part, messages``, in turn order."""
+    """``conv_id, messages``, in turn order."""
     return turns_to_messages(table(spark, sf_dir, "conversations"))
 
 
 TURNS_SQL = """
-    SELECT conv_id, idx // 1024 AS part, turn, role, text, idx % 1024 AS pos
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx
-          FROM conversations)"""
+    SELECT conv_id, turn, role, text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+    FROM conversations"""
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, part, conversations`` in from/value form, without system turns."""
+    """``conv_id, conversations`` in from/value form, without system turns."""
     return chat_rows(spark, sf_dir).select(
-        "conv_id", "part", to_identity(F.col("messages")).alias("conversations")
+        "conv_id", to_identity(F.col("messages")).alias("conversations")
     )
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from loomset import schemas
 from loomset.functions import chat
-from loomset.operators import preview, turns
+from loomset.operators import preference, preview, turns
 
 
 def messages(spark, values):
@@ -108,6 +108,32 @@ def test_long_conversations_continue_in_further_rows(spark, hot_rows):
     assert {tuple(r) for r in picks.collect()} == {(1, "t0", "t23"), (2, None, "none")}
 
 
+def test_a_conversation_is_one_row_however_long(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(2500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = turns.turns_to_messages(df)
+    assert whole.columns == ["conv_id", "messages"]
+    assert [len(r.messages) for r in whole.collect()] == [2500]
+    said = whole.select("conv_id", turns.to_identity(F.col("messages")).alias("conversations"))
+    stored = spark.createDataFrame([(1, "Acme answers")], "conv_id long, response string")
+    pairs = preference.pairs_from_responses(said, stored, "conv_id", "Deep Acme", "Acme", "conv_id")
+    got = pairs.collect()
+    assert [(r.status, r.chosen[1].content, r.chosen[2].content) for r in got] == [
+        ("ok", "t2498", "Deep Acme answers")
+    ]
+    back = turns.messages_to_turns(whole, "conv_id")
+    assert back.count() == 2500
+
+
+def test_empty_conversations_can_be_kept(spark):
+    rows = [(1, []), (2, None), (3, [("user", "hi")])]
+    df = spark.createDataFrame(rows, "id long, messages array<struct<role:string,content:string>>")
+    assert turns.messages_to_turns(df, "id").count() == 1
+    kept = turns.messages_to_turns(df, "id", keep_empty=True).collect()
+    assert sorted((r.id, r.pos, r.content) for r in kept if r.pos is not None) == [(3, 0, "hi")]
+    assert sorted(r.id for r in kept if r.pos is None) == [1, 2]
+
+
 def test_gaps_and_copies_keep_arrays_short(spark):
     rows = [(1, 10**12 * t, "user", f"t{t}") for t in range(7)] + [(2, 5, "user", "same")] * 95
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

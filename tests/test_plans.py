@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomset.plans.catalog import CATALOG
 from loomset.operators.sampling import take_first
 
 SF_DIR = "/root/testdata/sf0.001"
 
 USES_PYTHON = {
-    "batch_inference", "responses_with_errors", "generation_errors", "model_grid", "python_reward",
+    "batch_inference", "distillation_set", "responses_with_errors", "generation_errors", "model_grid", "python_reward",
     "sql_generation", "generated_pairs",
 }
 
@@ -25,7 +26,7 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_plan(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
