@@ -34,8 +34,8 @@ from loomset.llm.workers import add_columns, map_batches, per_worker, texts_of
 _OWN_CHARACTER = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 # Characters per slice and distinct pieces kept per worker: they bound memory, not results.
-SLICE_CHARS = 1_500_000
-KEPT_PIECES = 1_200_000
+SLICE_CHARS = 500_000
+KEPT_PIECES = 500_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _CODE_POINTS = 0x110000
@@ -119,13 +119,12 @@ def _classes() -> np.ndarray:
     return classes
 
 
-def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_tables(n: int = 2 * SLICE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value per code point, and the powers of an odd number and of its inverse."""
     random = np.random.default_rng(20240229)
     values = random.integers(1, 1 << 63, _CODE_POINTS, dtype=np.uint64)
     factor = int(random.integers(1, 1 << 62)) * 2 + 1
     inverse = pow(factor, -1, 1 << 64)
-    n = 2 * SLICE_CHARS + 1
     powers = np.full(n, factor, np.uint64)
     backwards = np.full(n, inverse, np.uint64)
     powers[0] = backwards[0] = 1
@@ -232,8 +231,9 @@ class Encoder:
     def _pieces(self, joined: str, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The slot of every piece, after the model has merged those not seen before."""
         values, powers, inverse = per_worker("hashes", _hash_tables)
-        if len(points) >= len(powers):
-            raise ValueError("a slice is longer than the hash tables")
+        if len(points) > len(powers):
+            # A text without a place to cut it: tables that reach as far, for this slice only.
+            values, powers, inverse = _hash_tables(len(points))
         running = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(values[points] * powers[: len(points)], out=running[1:])
         ends = np.append(starts[1:], len(points))

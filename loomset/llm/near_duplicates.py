@@ -45,7 +45,7 @@ LIKELY = 0.55
 # Members of a bucket in a block; a task compares two blocks with each other.
 BLOCK = 1024
 
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
 _FOLD = bytes(
@@ -293,24 +293,23 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b`` of the pairs whose full sets are similar. ``texts`` has ``cid, text``."""
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = {}, []
-            for names, content in ((0, 2), (1, 3)):
-                for name, text in zip(
-                    batch.column(names).to_pylist(), batch.column(content).to_pylist(), strict=True
-                ):
-                    if name not in ids:
-                        ids[name] = len(texts)
-                        texts.append(text)
-            sets = shingle_sets(texts)
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            mask = pa.array([linked(sets[ids[a]], sets[ids[b]]) for a, b in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"]
-            )
+    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, texts = {}, []
+        for names, content in ((0, 2), (1, 3)):
+            for name, text in zip(
+                batch.column(names).to_pylist(), batch.column(content).to_pylist(), strict=True
+            ):
+                if name not in ids:
+                    ids[name] = len(texts)
+                    texts.append(text)
+        sets = shingle_sets(texts)
+        pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        mask = pa.array([linked(sets[ids[a]], sets[ids[b]]) for a, b in pairs], pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"]
+        )
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), check, "a bigint, b bigint")
 
 
 class _Parts:

@@ -14,6 +14,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _HOLDER = "_loomset_worker_state"
 
+# Rows of an Arrow batch that are worked on at a time: bounds what a worker holds, not results.
+ROWS_AT_A_TIME = 1024
+
 
 def per_worker(key: Any, make: Callable[[], Any]) -> Any:
     """``make()``, kept for as long as this Python process lives.
@@ -31,12 +34,13 @@ def per_worker(key: Any, make: Callable[[], Any]) -> Any:
 def map_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
-    """Apply ``work`` to every Arrow batch. Rows stay in the partitions they are in."""
+    """Apply ``work`` to Arrow batches, a slice at a time. Rows stay in the partitions they are
+    in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                out = work(batch.slice(at, ROWS_AT_A_TIME))
                 if out is not None and out.num_rows:
                     yield out
 
