@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm.bpe import encoder
 from loomset.llm.workers import map_batches, texts_of
+from loomset.session import materialise
 
 # Lengths are summed by stretches of so many, and the stretches by one task.
 STRETCH = 4096
@@ -57,6 +58,8 @@ def context_table(histogram: DataFrame) -> DataFrame:
     Between two such limits everything is linear, see ``totals_at``.
     """
     tokens = F.col("n_tokens") * F.col("documents")
+    # It is used twice, and encoding is the dear part of it.
+    histogram = materialise(histogram, "histogram")
     rows = histogram.withColumn("_stretch", F.floor(F.col("n_tokens") / STRETCH))
     stretches = rows.groupBy("_stretch").agg(
         F.sum("documents").alias("_docs"), F.sum(tokens).alias("_tokens")
