@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, NumericType, TimestampType
 
-from loomset.operators.skew import HOT_ROWS, hot_hashes, key_hash
+from loomset.operators.skew import (
+    BLOCK_ROWS,
+    HOT_ROWS,
+    check_block_order,
+    hot_blocks,
+    hot_hashes,
+    key_hash,
+)
 
 # Fixed value: consecutive idle samples after which a device counts as idle.
 IDLE_LIMIT = 30
@@ -27,21 +33,21 @@ def idle_streaks(
     initial: str | None = None,
     hot_rows: int = HOT_ROWS,
     hot: list[int] | None = None,
-    chunk: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``streak``, the number of idle samples in a row up to this one, and ``alert``, true
-    where the streak reaches ``limit``.
+    where the streak rises to ``limit``. A device that enters with more has no such sample; there
+    ``streak >= limit`` tells.
 
     A sample is idle when its utilisation is 0; a missing reading counts as active. ``initial``
-    names a column with the streak a device enters with.
+    names a column with the streak a device enters with. ``ts`` is a number, date or time.
 
-    A device is counted in one task, except hot ones: those are cut into chunks of time (one
-    minute by default), counted chunk by chunk and completed by what the chunks before carry
-    over, one small row each. ``chunk`` must not fall as time goes on. A time that is a number
-    counts as seconds. ``hot`` is the result of ``hot_hashes`` where it is known already.
+    A device is counted in one task, except hot ones: those are cut into blocks of about
+    ``block_rows`` samples that follow each other, counted block by block and completed by what
+    the blocks before carry over, one small row each. Samples of one time share a block. ``hot``
+    is the result of ``hot_hashes`` where it is known already.
     """
-    if chunk is None:
-        chunk = _minute(ts, samples.schema[ts].dataType)
+    check_block_order(samples.schema[ts].dataType)
     idle = F.coalesce(F.col(util) == 0, F.lit(False))
     entered = F.lit(0) if initial is None else F.coalesce(F.col(initial), F.lit(0))
     kept = [name for name in samples.columns if name != initial]
@@ -68,32 +74,21 @@ def idle_streaks(
         return count_whole(samples)
 
     is_hot = key_hash([device]).isin(hot)
-    # Structs compare equal on NULL fields, so samples without a device or time stay in.
-    part = F.struct(F.col(device).alias("of"), chunk.alias("at"))
-    counted = count_inside(samples.filter(is_hot).withColumn("_part", part), "_part")
+    counted = count_inside(hot_blocks(samples.filter(is_hot), hot, device, ts, block_rows), "_block")
     earlier = (
-        Window.partitionBy("_part.of").orderBy("_part.at").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_block.of").orderBy("_block.at").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        counted.groupBy("_part")
+        counted.groupBy("_block")
         .agg(F.count(F.lit(1)).alias("n"), F.max("_active").alias("last"))
         .withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .withColumn("_reached", F.max(F.col("_before") + F.col("last")).over(earlier))
-        .select("_part", "_before", "_reached")
+        .select("_block", "_before", "_reached")
     )
     place = F.col("_before") + F.col("_pos")
     completed = finish(
-        counted.join(carried, "_part"),
+        counted.join(carried, "_block"),
         F.coalesce(place - F.col("_reached"), place + entered),
     )
     return count_whole(samples.filter(~is_hot)).unionByName(completed)
 
-
-def _minute(ts: str, kind: DataType) -> Column:
-    if isinstance(kind, TimestampType):
-        return F.floor(F.unix_seconds(ts) / 60)
-    if isinstance(kind, NumericType):
-        return F.floor(F.col(ts) / 60)
-    # Without a time zone the clock never goes back.
-    days = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
-    return (days * 1440 + F.hour(ts) * 60 + F.minute(ts)).cast("long")

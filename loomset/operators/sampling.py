@@ -25,7 +25,14 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from loomset.operators.skew import HOT_ROWS, hot_hashes, key_hash
+from loomset.operators.skew import (
+    BLOCK_ROWS,
+    HOT_ROWS,
+    check_block_order,
+    hot_blocks,
+    hot_hashes,
+    key_hash,
+)
 
 # Up to this many whole rows fit the top-k of a single task.
 TOP_ROWS = 10_000
@@ -56,18 +63,22 @@ def take_first(
 ) -> DataFrame:
     """First ``n`` rows in the order of ``order_by``; ``None`` and 0 mean all, below 0 none.
 
-    Up to ``top_rows`` this is Spark's top-k; a larger take is cut by range counts. Either way
-    the order columns are read on their own first, and the other columns only where the rows
-    taken can be: the bound on the first order column is pushed down to the files.
+    The rows come in that order, rows equal in it in the order of a digest of the whole row,
+    whatever ``n`` is. Up to ``top_rows`` this is Spark's top-k; for a larger take the last row is
+    found by range counts, and only the rows taken are sorted. Either way the order columns are
+    read on their own first, and the other columns only where the rows taken can be: the bound on
+    the first order column is pushed down to the files. Order columns of types without range
+    counts (binary, structs) always go through the top-k.
     """
     if not n:
         return df
     if n < 0:
         return df.limit(0)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    if n <= top_rows:
-        return df.filter(_first_bound(df, n, order[0])).orderBy(*order).limit(n)
-    return _take(df, _ordered_cut(df, n, order, top_rows))
+    last = F.md5(_row_text(df))
+    if n <= top_rows or not all(isinstance(df.schema[name].dataType, _SORT_TYPES) for name in order):
+        return df.filter(_first_bound(df, n, order[0])).orderBy(*order, last).limit(n)
+    return _take(df, _ordered_cut(df, n, order, top_rows)).orderBy(*order, last)
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str | list[str] | None = None) -> DataFrame:
@@ -117,27 +128,22 @@ def number_rows(
     order_by: str,
     number: str = "idx",
     hot_rows: int = HOT_ROWS,
-    block_rows: int = 65_536,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """1-based position of each row in its group; ``order_by`` is an integer, unique in a group.
+    """1-based position of each row in its group; ``order_by`` is a number, date or time, unique in
+    a group.
 
-    Groups are ranked in one task each, except hot ones: those are cut into blocks of the order
-    value, of about ``block_rows`` rows where values are evenly spread, ranked block by block,
-    and completed by the sizes of the blocks before, one small row each.
+    Groups are ranked in one task each, except hot ones: those are cut into blocks of about
+    ``block_rows`` rows, ranked block by block, and completed by the sizes of the blocks before,
+    one small row each.
     """
+    check_block_order(df.schema[order_by].dataType)
     place = F.row_number().over(Window.partitionBy(group).orderBy(order_by)).cast("long")
     hot = hot_hashes(df, [group], hot_rows)
     if not hot:
         return df.withColumn(number, place)
     is_hot = key_hash([group]).isin(hot)
-    value = F.col(order_by)
-    span = df.filter(is_hot).agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n")
-    ).first()
-    width = max(1, ((span.high or 0) - (span.low or 0)) * block_rows // span.n)
-    # Structs compare equal on NULL fields, so rows without a group are numbered as well.
-    spot = F.struct(F.col(group).alias("of"), F.floor(value / F.lit(float(width))).alias("at"))
-    blocks = df.filter(is_hot).withColumn("_block", spot)
+    blocks = hot_blocks(df.filter(is_hot), hot, group, order_by, block_rows)
     inside = Window.partitionBy("_block").orderBy(order_by)
     earlier = (
         Window.partitionBy("_block.of").orderBy("_block.at").rowsBetween(Window.unboundedPreceding, -1)
@@ -305,8 +311,6 @@ def _ordered_cut(df: DataFrame, n: int, order: list[str], small: int) -> Cut:
     that agree with the n-th row in the columns before it.
     """
     kinds = [df.schema[name].dataType for name in order]
-    if not all(isinstance(kind, _SORT_TYPES) for kind in kinds):
-        raise ValueError("a take this large is ordered by numbers, strings, dates or times")
     sure, tied = F.lit(False), F.lit(True)
     reach = None
     for name, kind in zip(order, kinds):

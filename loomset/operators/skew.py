@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
+
+from loomset.session import materialise
 
 # A key is hot when it holds more than this share of the rows, which at most 1 / HOT_SHARE keys
-# can, and at least this many rows. Any other key is light work for one task.
+# can, and at least HOT_ROWS rows. In a large table that share is more than a task should hold, so
+# a key of TASK_ROWS rows is hot whatever its share. Any other key is light work for one task.
 HOT_SHARE = 0.0001
 HOT_ROWS = 100_000
+TASK_ROWS = 10_000_000
+
+# Rows of a hot group that go to one task, and the most blocks a group is cut into.
+BLOCK_ROWS = 65_536
+BLOCKS = 1_024
+
+# So many bounds of blocks are small enough to broadcast.
+_BROADCAST_BOUNDS = 1_000_000
 
 _BUCKETS = 65_536
 
@@ -30,7 +42,7 @@ def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list
         )
         .first()
     )
-    least = max(hot_rows, HOT_SHARE * (sizes.total or 0))
+    least = max(hot_rows, min(TASK_ROWS, HOT_SHARE * (sizes.total or 0)))
     heavy = [b.bucket for b in sizes.heavy if b.n >= least]
     if not heavy:
         return []
@@ -42,6 +54,48 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 
 
+def check_block_order(kind: DataType) -> None:
+    """Groups of any size are ordered by a type that hot groups can be cut by."""
+    if not isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        raise ValueError(f"groups are ordered by numbers, dates or times, not {kind.simpleString()}")
+
+
+def hot_blocks(
+    rows: DataFrame, hot: list[int], group: str, order_by: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``_block``, the group (``of``) and the place of the block in it (``at``), to rows of hot
+    groups.
+
+    A group is cut at percentiles of ``order_by`` into blocks of about ``block_rows`` rows, and
+    into ``BLOCKS`` of them at most, however its values are spread. Rows that are equal in
+    ``order_by`` share a block, missing values are in the first one. The bounds are written, so
+    that every later step cuts at the same places.
+    """
+    check_block_order(rows.schema[order_by].dataType)
+    # Structs compare equal on NULL fields, so rows without a group stay in.
+    named = rows.withColumn("_of", F.struct(group))
+    found = named.groupBy("_of").agg(
+        F.least(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(BLOCKS)).cast("int").alias("_blocks"),
+        F.percentile_approx(order_by, [i / BLOCKS for i in range(1, BLOCKS)]).alias("_at"),
+    )
+    ends = F.transform(
+        F.sequence(F.lit(1), F.col("_blocks") - 1),
+        lambda i: F.get("_at", F.floor(i * BLOCKS / F.col("_blocks")).cast("int") - 1),
+    )
+    ends = F.when(F.col("_blocks") > 1, F.array_distinct(ends))
+    bounds = materialise(found.select("_of", ends.alias("_ends")), "bounds")
+    held = bounds.agg(F.sum(F.size("_ends") + 1).alias("n")).first().n or 0
+    if held <= _BROADCAST_BOUNDS:
+        placed = named.join(F.broadcast(bounds), "_of")
+    else:
+        placed = join_hot(named, bounds, "_of", hot=hot)
+    at = F.size(F.filter("_ends", lambda end: end < F.col(order_by)))
+    at = F.when(F.col("_ends").isNull(), 0).otherwise(at)
+    return placed.withColumn("_block", F.struct(F.col(group).alias("of"), at.alias("at"))).drop(
+        "_of", "_ends"
+    )
+
+
 def join_hot(
     many: DataFrame,
     one: DataFrame,

@@ -113,6 +113,15 @@ def numbered_rows(spark, sf_dir):
     return sampling.number_rows(events, "user_id", "event_id")
 
 
+@query("""
+    SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS idx
+    FROM events""")
+def numbered_rows_hot(spark, sf_dir):
+    """Few groups, each of which is cut into blocks."""
+    events = inputs.table(spark, sf_dir, "events").select("event_id", "event_type")
+    return sampling.number_rows(events, "event_type", "event_id", hot_rows=500, block_rows=400)
+
+
 @query(f"""
     SELECT '<|im_start|>system' || chr(10) || 'You are an text to SQL query translator...<|im_end|>' || chr(10)
            || '<|im_start|>user' || chr(10) || question || '<|im_end|>' || chr(10)

@@ -29,6 +29,14 @@ def idle_streaks(spark, sf_dir):
     return _streaks(spark, sf_dir).select("device", "event_id", "streak", "alert")
 
 
+@query(ALERTS_SQL)
+def idle_streaks_hot(spark, sf_dir):
+    """Every device large enough for a block of its own is cut into blocks."""
+    samples = inputs.samples(spark, sf_dir)
+    streaks = idle.idle_streaks(samples, tie=("event_id",), limit=3, hot_rows=20, block_rows=8)
+    return streaks.select("device", "event_id", "streak", "alert")
+
+
 @query(f"SELECT device, event_id, streak FROM ({STREAKS_SQL}) WHERE streak = 3")
 def idle_alerts(spark, sf_dir):
     return _streaks(spark, sf_dir).filter("alert").select("device", "event_id", "streak")

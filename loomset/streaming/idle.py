@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,7 +31,8 @@ def stream_idle_streaks(
     with ``late`` set and no streak.
 
     Both writes of a micro-batch replace what an earlier try of it left, and the state read is
-    the one before it, so a batch that is run again gives the same files.
+    the one before it, so a batch that is run again gives the same files. A new checkpoint over
+    an ``out`` that an earlier one went on with is refused.
     """
     place = [ts, *tie]
     state_folder = f"{out.rstrip('/')}/_state"
@@ -38,6 +40,14 @@ def stream_idle_streaks(
     def state_path(batch: int) -> str:
         return f"{state_folder}/{batch % 2}"
 
+    def refuse_earlier(spark: SparkSession) -> None:
+        """The first micro-batch of a checkpoint replaces no files but its own."""
+        try:
+            spark.read.schema("_entered long").parquet(state_path(1))
+        except AnalysisException:
+            return
+        raise ValueError(f"{out} has the files of another checkpoint")
+
     def advance(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
         seen = batch_df.select(F.struct(*place).alias("p")).schema["p"].dataType.simpleString()
@@ -51,6 +61,7 @@ def stream_idle_streaks(
             )
 
         if batch == 0:
+            refuse_earlier(spark)
             counted = count(batch_df, None)
         else:
             state = spark.read.schema(state_schema).parquet(state_path(batch - 1))

@@ -2,8 +2,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from loomset.operators import skew
 from loomset.operators.idle import idle_streaks, total_utilisation
 from loomset.streaming.idle import read_idle_streaks, stream_idle_streaks
 
@@ -118,3 +120,26 @@ def test_repeated_batch_gives_the_same_files(spark, tmp_path):
     run()
     assert {r.id: r.streak for r in read_idle_streaks(spark, out).collect()} == streaks(rows)
     assert read_idle_streaks(spark, out).count() == 900
+
+
+def test_blocks_of_a_sample_a_minute(spark):
+    df = spark.range(0, 5_000, 1, 4).select(F.lit("hot").alias("device"), (F.col("id") * 60).alias("ts"))
+    hot = skew.hot_hashes(df, ["device"], 500)
+    sizes = [r["count"] for r in skew.hot_blocks(df, hot, "device", "ts", 100).groupBy("_block").count().collect()]
+    assert max(sizes) <= 200 and 25 <= len(sizes) <= 51
+
+
+def test_stream_refuses_the_files_of_another_checkpoint(spark, tmp_path):
+    rows = samples(60)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(checkpoint):
+        streamed = spark.readStream.schema(SCHEMA).parquet(source)
+        stream_idle_streaks(streamed, out, str(tmp_path / checkpoint), tie=("id",)).awaitTermination()
+
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        run("one")
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        run("two")
+    assert read_idle_streaks(spark, out).count() == 60

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loomset.operators import sampling
+from loomset.operators import sampling, skew
 from loomset.operators.sampling import assign_split, number_rows, seeded_sample, take_first, train_test_split
 
 
@@ -146,3 +146,34 @@ def test_number_rows(spark, hot_rows, block_rows, scale):
         want.setdefault(r.g, []).append(r.at)
     expected = {(g, at, i) for g, values in want.items() for i, at in enumerate(values, 1)}
     assert {tuple(r) for r in got.collect()} == expected and got.count() == 4_000
+
+
+def test_blocks_hold_about_as_many_rows_however_values_are_spread(spark):
+    values = [*range(4_999), 10**15]
+    df = spark.createDataFrame([("hot", v) for v in values], "g string, at long").repartition(5)
+    hot = skew.hot_hashes(df, ["g"], 500)
+    sizes = [r["count"] for r in skew.hot_blocks(df, hot, "g", "at", 100).groupBy("_block").count().collect()]
+    assert max(sizes) <= 200 and len(sizes) <= 51 and sum(sizes) == 5_000
+    assert bag(number_rows(df, "g", "at", hot_rows=500, block_rows=100)) == [
+        ("hot", v, i) for v, i in sorted(zip(values, range(1, 5_001)), key=repr)
+    ]
+
+
+@pytest.mark.parametrize("hot_rows", [100_000, 100])
+def test_numbering_treats_types_alike_at_every_size(spark, hot_rows):
+    df = spark.range(0, 600, 1, 4).select(
+        F.lit("a").alias("g"), "id", F.timestamp_micros(F.col("id") * 7).alias("t"),
+        F.col("id").cast("string").alias("s"),
+    )
+    got = number_rows(df, "g", "t", hot_rows=hot_rows, block_rows=50)
+    assert got.filter(F.col("idx") != F.col("id") + 1).count() == 0
+    with pytest.raises(ValueError, match="numbers, dates or times"):
+        number_rows(df, "g", "s", hot_rows=hot_rows)
+
+
+def test_takes_are_alike_at_every_size(spark):
+    """Same rows, same order, same ties on both sides of the threshold."""
+    df = spark.range(0, 2_000, 1, 6).select((F.col("id") % 7).alias("k"), "id", F.unhex(F.hex("id")).alias("b"))
+    for order in (["k"], ["k", "id"], ["b"]):
+        small = take_first(df, 700, order, top_rows=1_000).collect()
+        assert small == take_first(df, 700, order, top_rows=10).collect() and len(small) == 700
