@@ -9,16 +9,36 @@ from loomset.plans.catalog.registry import query
 from loomset.session import shared_path
 from loomset.streaming.idle import read_idle_streaks, stream_idle_streaks
 
-STREAKS_SQL = f"""
+
+def _streaks_sql(samples):
+    return f"""
     SELECT device, event_id, ts, util, CASE WHEN active THEN 0 ELSE row_number() OVER
                (PARTITION BY device, island ORDER BY ts, event_id) - first_active END AS streak
     FROM (SELECT *, CASE WHEN island > 0 THEN 1 ELSE 0 END AS first_active
           FROM (SELECT *, sum(active::INT) OVER (PARTITION BY device ORDER BY ts, event_id
                               ROWS UNBOUNDED PRECEDING) AS island
-                FROM (SELECT *, coalesce(util <> 0, true) AS active FROM ({inputs.SAMPLES_SQL}))))"""
+                FROM (SELECT *, coalesce(util <> 0, true) AS active FROM ({samples}))))"""
+
+
+STREAKS_SQL = _streaks_sql(inputs.SAMPLES_SQL)
 
 ALERTS_SQL = f"SELECT device, event_id, streak, streak = 3 AS alert FROM ({STREAKS_SQL})"
 
+# What arrives in the first, second and third micro-batch; some early samples come with the third.
+HELD = "event_id % 50 = 0 AND ts < DATE '2024-01-11'"
+SECOND, THIRD = "ts >= DATE '2024-01-11'", "ts >= DATE '2024-01-21'"
+ARRIVALS = (
+    f"NOT ({SECOND}) AND NOT ({HELD})",
+    f"{SECOND} AND NOT ({THIRD})",
+    f"{THIRD} OR ({HELD})",
+)
+
+ARRIVED_SQL = f"""
+    SELECT s.*, coalesce(({HELD}) AND {{'t': ts, 'e': event_id}} <= last, false) AS late
+    FROM ({inputs.SAMPLES_SQL}) s LEFT JOIN (
+        SELECT device AS of, max({{'t': ts, 'e': event_id}}) AS last FROM ({inputs.SAMPLES_SQL})
+        WHERE NOT ({HELD}) AND NOT ({THIRD}) GROUP BY device) ON device IS NOT DISTINCT FROM of"""
+
 
 def _streaks(spark, sf_dir):
     return idle.idle_streaks(inputs.samples(spark, sf_dir), tie=("event_id",), limit=3)
@@ -65,6 +85,24 @@ def idle_streaks_stream(spark, sf_dir):
     return read_idle_streaks(spark, f"{folder}/out").select("device", "event_id", "streak", "alert", "late")
 
 
+@query(f"""
+    SELECT device, event_id, streak, streak = 3 AS alert, false AS late
+    FROM ({_streaks_sql(f"SELECT * FROM ({ARRIVED_SQL}) WHERE NOT late")})
+    UNION ALL
+    SELECT device, event_id, NULL, false, true FROM ({ARRIVED_SQL}) WHERE late""")
+def idle_streaks_micro_batches(spark, sf_dir):
+    """A stream that is stopped and goes on twice, with samples that come late."""
+    folder = shared_path(spark, "idle")
+    samples = inputs.samples(spark, sf_dir)
+    for arrival in ARRIVALS:
+        samples.filter(arrival).write.mode("append").parquet(f"{folder}/in")
+        streamed = spark.readStream.schema(samples.schema).parquet(f"{folder}/in")
+        stream_idle_streaks(
+            streamed, f"{folder}/out", f"{folder}/checkpoint", tie=("event_id",), limit=3
+        ).awaitTermination()
+    return read_idle_streaks(spark, f"{folder}/out").select("device", "event_id", "streak", "alert", "late")
+
+
 @query(rf"""
     SELECT o_orderkey, k, CASE WHEN regexp_extract(content, '\\boxed\{{(.*?)\}}', 1)
                = (o_orderkey % 97)::VARCHAR THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward
