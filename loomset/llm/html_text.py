@@ -3,8 +3,10 @@
 Every piece of text hangs on a path of tags from the root. Text of an article shares few paths
 that carry long text with much punctuation; menus and boxes have many nodes with little of both.
 Per path, text length and punctuation are summed and divided by the number of nodes, smoothed
-over the paths that come before and after, multiplied, and held against a threshold. The paths
-above it point at the element that holds the article; its blocks are the result.
+over the paths that come before and after, multiplied, and held against a threshold. Blocks on the paths
+above it are the article, wherever they stand, with the headings over them. Of what is below it,
+blocks that stand between them belong to it too, but link lists and boxes do not. The tags article
+and main are a hint: outside them a path must reach more, inside them sentences are enough.
 
 A null or empty page, and one without text, gives the empty string. Pages of any size are read
 whole, and markup that is cut off or never closed is read as far as it goes. Repeated rows give
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 
 from loomset.llm.workers import map_batches, texts_of
 
-# Share of the spread of the fused ratios that a path must reach, and the share of the text on
-# such paths that the chosen element must hold.
+# Share of the spread of the fused ratios that a path must reach; share of the best one that it must
+# reach outside the tags that name an article, where these hold most text of the first kind.
 THRESHOLD = 0.3
-COVER = 0.8
+OUTSIDE = 0.5
 _KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 _VOID = frozenset(
@@ -44,6 +46,10 @@ _NEVER = frozenset(
     "option iframe svg math canvas object audio video menu dialog datalist".split()
 )
 _CONTAINER = frozenset("article main".split())
+# Blocks of one of the first stand beside each other; the second may stand in one of their own.
+_SECTION = frozenset("article body div html main section".split())
+_WRAPPED = frozenset("blockquote figure pre table".split())
+_LIST = frozenset("dl ol table ul".split())
 # An open element of the first kind ends where one of the second starts.
 _ENDS = {
     "li": frozenset(["li"]),
@@ -81,6 +87,7 @@ _OPEN_TAG = re.compile(
 )
 _END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+>")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'»”)]*\s*$")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡\"'()«»“”]")
 
 
@@ -248,40 +255,107 @@ def path_scores(texts: list[tuple[int, int, int, str, bool]]) -> dict[int, float
 
 
 def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
-    """The texts of the element that holds the article."""
+    """The texts of the blocks that make up the article."""
     texts = reader.texts
     if not any(text.strip() for *_, text, _ in texts):
         return []
     scores = path_scores(texts)
     values = np.array(list(scores.values()))
     least = min(values.max(), THRESHOLD * values.std())
-    weight: dict[int, float] = defaultdict(float)
-    for path, element, _, text, linked in texts:
-        if scores[path] >= least and not linked:
-            weight[element] += len(text.strip())
-    # Weight under every element; children have larger numbers than their parents.
-    under = [0.0] * len(reader.parent)
-    for element, size in weight.items():
-        under[element] += size
-    for element in range(len(under) - 1, 0, -1):
-        under[reader.parent[element]] += under[element]
-    named = [e for e in range(len(under)) if reader.tag[e] in _CONTAINER and under[e] > 0]
-    if named:
-        articles = [e for e in named if reader.tag[e] == "article"] or named
-        root = max(articles, key=lambda e: (under[e], -e))
-    else:
-        total = under[0]
-        inside = [
-            e
-            for e in range(len(under))
-            if under[e] >= COVER * total and (e == 0 or reader.tag[e] in _BLOCK - {"p"} - _HEADING)
-        ]
-        root = inside[-1]
-    held = [False] * len(under)
-    held[root] = True
-    for element in range(root + 1, len(held)):
-        held[element] = held[reader.parent[element]]
-    return [t for t in texts if held[t[1]]]
+    parent, tag = reader.parent, reader.tag
+    children = [0] * len(parent)
+    for above in parent[1:]:
+        children[above] += 1
+
+    # Of every element, whose children have larger numbers: whether it lies in an article, and the
+    # section its blocks stand in.
+    named = [False] * len(parent)
+    section = [0] * len(parent)
+    listed = [0] * len(parent)
+    for e in range(1, len(parent)):
+        above = parent[e]
+        named[e] = named[above] or tag[e] in _CONTAINER
+        if tag[e] in _SECTION:
+            section[e] = e
+        else:
+            section[e], listed[e] = section[above], listed[above]
+            if tag[e] in _WRAPPED:
+                while tag[section[e]] in ("div", "section") and children[section[e]] == 1:
+                    section[e] = section[parent[section[e]]]
+            if tag[e] in _LIST and not listed[e]:
+                listed[e] = e
+
+    # Of blocks: element, length, length in links, best score outside links.
+    blocks: dict[int, list] = {}
+    linked_in: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for path, element, block, text, linked in texts:
+        size = len(text.strip())
+        if not size:
+            continue
+        own = element
+        while own and tag[own] not in _BLOCK:
+            own = parent[own]
+        found = blocks.setdefault(block, [own, 0, 0, -1.0, ""])
+        found[1] += size
+        found[4] += text
+        if linked:
+            found[2] += size
+        else:
+            found[3] = max(found[3], scores[path])
+        if listed[own]:
+            linked_in[listed[own]][0] += size
+            linked_in[listed[own]][1] += size * linked
+
+    def is_high(found: list, bar: float) -> bool:
+        return found[3] >= bar and tag[found[0]] not in _HEADING
+
+    best = max((f[3] for f in blocks.values() if tag[f[0]] not in _HEADING), default=-1.0)
+    weight = [0, 0]
+    for found in blocks.values():
+        if is_high(found, least):
+            weight[named[found[0]]] += found[1] - found[2]
+    hinted = weight[1] >= weight[0] and weight[1] > 0
+    outside = max(least, OUTSIDE * best) if hinted else least
+    high = {b for b, f in blocks.items() if is_high(f, least if named[f[0]] else outside)}
+    if not high:
+        return texts
+    hosts = {section[blocks[b][0]] for b in high}
+    # Sections right around these, where a title and a lead stand before the body.
+    around = {section[parent[h]] for h in hosts}
+    last = max(high)
+
+    kept = set(high)
+    for block, (element, size, linked, _, text) in blocks.items():
+        if block in high or tag[element] in _HEADING or (hinted and not named[element]):
+            continue
+        if listed[element]:
+            size, linked = linked_in[listed[element]]
+        links = 2 * linked > size and (listed[element] or tag[element] != "p")
+        before = section[element] in around and block < last
+        sentence = (hinted or before) and _SENTENCE.search(text)
+        if not links and (section[element] in hosts or sentence):
+            kept.add(block)
+
+    # A heading stands over the blocks that follow up to the next one of its rank, as far as the
+    # element reaches that holds it with more than headings.
+    over: dict[str, int] = {}
+    for block in sorted(blocks):
+        element = blocks[block][0]
+        if tag[element] in _HEADING:
+            for rank in [r for r in over if r >= tag[element]]:
+                del over[rank]
+            over[tag[element]] = block
+        elif block in kept:
+            for head in over.values():
+                own = parent[blocks[head][0]]
+                while own and tag[own] in ("div", "header", "hgroup") and own not in hosts:
+                    own = parent[own]
+                inside = element
+                while inside > own:
+                    inside = parent[inside]
+                if inside == own and (named[blocks[head][0]] or not hinted):
+                    kept.add(head)
+    return [t for t in texts if t[2] in kept]
 
 
 def main_text(html: str | None) -> str:

@@ -91,6 +91,20 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "A long text, with commas, and more than a few words, so that it counts."
+SELECTED = [
+    (f"<main><p>{LONG}</p><article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article></main>", f"{LONG}\nA\n{LONG}\nB\n{LONG}"),
+    (f"<body><h1>Title</h1><p class=lead>A lead, that says it.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div><div class=foot>Imprint</div></body>", f"Title\nA lead, that says it.\n{LONG}\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p><div class=zz><h3>More</h3><ul><li><a href=x>One link</a><li><a href=y>Two</a></ul></div><div class=yy>Follow us</div><h2>S</h2><p>{LONG}</p></article>", f"T\n{LONG}\nS\n{LONG}"),
+    (f"<article><h1>T</h1><p>{LONG}</p><h2>List</h2><ul><li>Apples<li><a href=x>Pears</a> too</ul><div><p>Short.</p></div><div><table><tr><td>1<td>2</table></div></article>", f"T\n{LONG}\nList\nApples\nPears too\nShort.\n1\n2"),
+]
+
+
+@pytest.mark.parametrize("page, want", SELECTED)
+def test_paths_choose_the_blocks(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract_pages(pages, "html", "page_id", "url").collect()}
