@@ -62,7 +62,11 @@ _ENDS = {
 }
 _KEEPS_OPEN = frozenset("html body div section article main table ul ol dl blockquote".split())
 
-# Words of class, id and role that name what is no article.
+# Tags that may hold a box. Headings, paragraphs, items and what stands in a line are no boxes.
+_BOX = frozenset(
+    "article aside details div dl fieldset figure header ol section table ul".split()
+)
+# Words of class, id and role that name what is no article, and words that may stand beside them.
 _NOISE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs "
     "byline captcha comment comments commentlist consent cookie cookies copyright dialog disclaimer "
@@ -74,6 +78,11 @@ _NOISE = frozenset(
 _NOISE_ARTICLE = frozenset(
     "ad advert advertisement comment comments promo related reply sponsored teaser".split()
 )
+_BESIDE = frozenset(
+    "area articles aside bar block body bottom box button buttons card container content entry "
+    "group holder icons inner item items left link links list main media module outer page panel "
+    "post posts right row section site slot stories thread top unit wrap wrapper".split()
+)
 _NOISE_HEADER = frozenset(["header", "pageheader", "siteheader"])
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -91,25 +100,39 @@ _SENTENCE = re.compile(r"[.!?…。！？][\"'»”)]*\s*$")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡\"'()«»“”]")
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
-    if tag in ("html", "body", "main") or not attrs.strip(" /"):
-        return False
+def _names_noise(token: str, noise: frozenset[str]) -> bool:
+    """Whether a class names a box: as a whole, or by its words if nothing else is among them."""
+    if token.lower() in noise:
+        return True
+    words = {word.lower() for word in _WORD.findall(token) if len(word) > 1}
+    return bool(words & noise) and words <= _NOISE | _BESIDE
+
+
+def _is_hidden(attrs: str) -> bool:
     for found in _ATTRIBUTE.finditer(attrs):
         name, value = found[1].lower(), found[2] or found[3] or found[4]
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if not value:
+        if name == "style" and value and _HIDDEN.search(value):
+            return True
+    return False
+
+
+def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
+    """Whether class, id or role name a box that is no article. An id inside an article is a place
+    to link to and names none."""
+    if tag not in _BOX:
+        return False
+    noise = _NOISE_ARTICLE if tag == "article" else _NOISE
+    for found in _ATTRIBUTE.finditer(attrs):
+        name, value = found[1].lower(), found[2] or found[3] or found[4]
+        if not value or name not in ("class", "id", "role") or (name == "id" and in_article):
             continue
-        if name == "style" and _HIDDEN.search(value):
+        tokens = value.split()
+        if any(_names_noise(token, noise) for token in tokens):
+            return True
+        if tag in ("div", "section", "table") and {t.lower() for t in tokens} & _NOISE_HEADER:
             return True
-        if name in ("class", "id", "role"):
-            words = {word.lower() for word in _WORD.findall(value)}
-            if words & (_NOISE_ARTICLE if tag == "article" else _NOISE):
-                return True
-            if tag in ("div", "section", "table") and (
-                {word.lower() for word in value.split()} & _NOISE_HEADER
-            ):
-                return True
     return False
 
 
@@ -117,9 +140,11 @@ class PageReader:
     """Reads a page into nodes of text, each with its path, element and block."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[int, str], int] = {}
-        # Of elements: parent, tag. Element 0 is the root.
+        # By the path above, tag, and whether names say that a box starts here.
+        self.paths: dict[tuple[int, str, bool], int] = {}
+        # Of elements: parent, tag, innermost such box. Element 0 is the root.
         self.parent = [0]
+        self.box = [0]
         self.tag = [""]
         # Open elements: tag, element, path, skipped.
         self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
@@ -178,16 +203,24 @@ class PageReader:
                 self.add_text(" ")
             return
         _, above, path, skipped = self.open[-1]
+        box = False
         if not skipped:
-            if tag in _NEVER or _is_noise(tag, attrs):
+            in_article = self.count["article"] > 0 or self.count["main"] > 0
+            if attrs.strip(" /") and tag not in ("html", "body"):
+                box = _is_noise(tag, attrs, in_article)
+                skipped = tag != "main" and _is_hidden(attrs)
+            if tag in _NEVER:
                 skipped = True
+            elif skipped:
+                pass
             elif tag == "header":
-                skipped = not (self.count["article"] or self.count["main"])
+                skipped = not in_article
             elif self.count["header"] and tag not in _HEADING and tag not in ("div", "hgroup"):
                 # Of the header of an article only headings belong to its text.
                 skipped = tag in _BLOCK or tag in ("span", "time")
-        path = self.paths.setdefault((path, tag), len(self.paths) + 1)
+        path = self.paths.setdefault((path, tag, box), len(self.paths) + 1)
         self.parent.append(above)
+        self.box.append(len(self.tag) if box else self.box[above])
         self.tag.append(tag)
         self.open.append((tag, len(self.tag) - 1, path, skipped))
         self.count[tag] += 1
@@ -260,6 +293,33 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
     if not any(text.strip() for *_, text, _ in texts):
         return []
     scores = path_scores(texts)
+    # A box that is named as no article is one all the same if it holds more text than what is in
+    # no box, on a path that scores as high; not so outside a tag that names an article.
+    if any(reader.box):
+
+        def in_article(element: int) -> bool:
+            while element and reader.tag[element] not in _CONTAINER:
+                element = reader.parent[element]
+            return element > 0
+
+        best: dict[int, float] = defaultdict(float)
+        weights: dict[int, int] = defaultdict(int)
+        tagged = False
+        for path, element, _, text, linked in texts:
+            if not linked:
+                box = reader.box[element]
+                best[box] = max(best[box], scores[path])
+                weights[box] += len(text.strip())
+                tagged = tagged or (not box and bool(text.strip()) and in_article(element))
+        out = {
+            box
+            for box in set(reader.box) - {0}
+            if best[box] < best[0] or weights[box] <= weights[0] or (tagged and not in_article(box))
+        }
+        texts = [t for t in texts if reader.box[t[1]] not in out]
+        if not any(text.strip() for *_, text, _ in texts):
+            return []
+        scores = path_scores(texts)
     values = np.array(list(scores.values()))
     least = min(values.max(), THRESHOLD * values.std())
     parent, tag = reader.parent, reader.tag
@@ -309,13 +369,13 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
     def is_high(found: list, bar: float) -> bool:
         return found[3] >= bar and tag[found[0]] not in _HEADING
 
-    best = max((f[3] for f in blocks.values() if tag[f[0]] not in _HEADING), default=-1.0)
+    highest = max((f[3] for f in blocks.values() if tag[f[0]] not in _HEADING), default=-1.0)
     weight = [0, 0]
     for found in blocks.values():
         if is_high(found, least):
             weight[named[found[0]]] += found[1] - found[2]
     hinted = weight[1] >= weight[0] and weight[1] > 0
-    outside = max(least, OUTSIDE * best) if hinted else least
+    outside = max(least, OUTSIDE * highest) if hinted else least
     high = {b for b, f in blocks.items() if is_high(f, least if named[f[0]] else outside)}
     if not high:
         return texts

@@ -105,6 +105,20 @@ def test_paths_choose_the_blocks(page, want):
     assert html_text.main_text(page) == want
 
 
+NAMED = [
+    (f'<article><h1>T</h1><p>{LONG}</p><h2 id="search-and-rescue">Search and rescue</h2><p id="form-of-government">{LONG}</p><section id="social-effects"><h2 class="notice">Effects</h2><p>{LONG}</p></section><ul><li id="comment">Item</ul></article>', f"T\n{LONG}\nSearch and rescue\n{LONG}\nEffects\n{LONG}\nItem"),
+    (f'<body><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section><div class="related-posts"><p>{LONG}</p></div><div class="ad-300x250"><p>{LONG}</p></div></body>', f"Related work\n{LONG}"),
+    (f'<body><h1>T</h1><div class="widget"><p>{LONG}</p><p>{LONG}</p></div><div class="cookieBanner">Yes</div></body>', f"T\n{LONG}\n{LONG}"),
+    (f'<article><h1>T</h1><p>Short.</p><div class="widget"><p>{LONG}</p><p>{LONG}</p></div></article><div class="ad"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', f"T\nShort.\n{LONG}\n{LONG}"),
+    (f'<article><p>{LONG}</p><div hidden><p>{LONG}</p></div><p style="display:none">{LONG}</p></article>', LONG),
+]
+
+
+@pytest.mark.parametrize("page, want", NAMED)
+def test_names_drop_boxes_only(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract_pages(pages, "html", "page_id", "url").collect()}
