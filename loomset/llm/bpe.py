@@ -84,17 +84,28 @@ class Vocabulary:
 
             self.model = Tokenizer.from_file(path).model
             with open(path, encoding="utf-8") as file:
-                ids = json.load(file)["model"]["vocab"]
+                content = json.load(file)
+            ids = content["model"]["vocab"]
+            added = content.get("added_tokens") or []
+            for token in added:
+                if any(token.get(x) for x in ("single_word", "lstrip", "rstrip", "normalized")):
+                    raise ValueError(f"added token {token['content']!r} is not matched as it stands")
+            self.added = {token["content"]: token["id"] for token in added}
             back = {char: byte for byte, char in enumerate(table)}
             self.token_bytes = {
                 i: bytes(back[c] for c in token)
                 for token, i in ids.items()
                 if all(c in back for c in token)
             }
+            self.token_bytes.update({i: token.encode() for token, i in self.added.items()})
         else:
+            self.added = {}
             ranks = load_ranks(path)
             self.model = model_from_ranks(ranks)
             self.token_bytes = {i: token for token, i in ranks.items()}
+        # Where several added tokens start, the longest is taken.
+        longest = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = regex.compile("|".join(map(regex.escape, longest))) if longest else None
         self.size = max(self.token_bytes) + 1
         self.id_type = np.uint16 if self.size <= 1 << 16 else np.uint32
 
@@ -102,6 +113,19 @@ class Vocabulary:
         """Tokens of one piece, with ``id`` and ``offsets`` in bytes."""
         return self.model.tokenize(piece.encode().decode("latin-1").translate(self.spelling))
 
+    def split(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """``text`` in parts that are not empty: those that are an added token of the file, with
+        its id, and those between them."""
+        at = 0
+        if self.added_pattern:
+            for found in self.added_pattern.finditer(text):
+                if found.start() > at:
+                    yield text[at : found.start()], None
+                yield found[0], self.added[found[0]]
+                at = found.end()
+        if at < len(text):
+            yield text[at:], None
+
 
 def vocabulary(path: str) -> Vocabulary:
     return per_worker(("vocabulary", path), lambda: Vocabulary(path))
@@ -197,18 +221,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """The position of each text that is not empty, and its ids. Texts come in order; one
-        that is longer than a slice comes in several parts."""
-        batch: list[tuple[int, str]] = []
+        that is longer than a slice, or holds added tokens, comes in several parts."""
+        batch: list[tuple[int, str, int | None]] = []
         chars = 0
         for i, text in enumerate(texts):
-            for part in slices(text):
-                if batch and chars + len(part) > SLICE_CHARS:
-                    yield from self._encode_slice(batch)
-                    batch, chars = [], 0
-                batch.append((i, part))
-                chars += len(part)
+            for between, added in self.words.split(text):
+                for part in slices(between) if added is None else [between]:
+                    if batch and chars + len(part) > SLICE_CHARS:
+                        yield from self._encode_parts(batch)
+                        batch, chars = [], 0
+                    batch.append((i, part, added))
+                    chars += len(part)
         if batch:
-            yield from self._encode_slice(batch)
+            yield from self._encode_parts(batch)
+
+    def _encode_parts(
+        self, batch: list[tuple[int, str, int | None]]
+    ) -> Iterator[tuple[int, np.ndarray]]:
+        plain = [(i, part) for i, part, added in batch if added is None]
+        encoded = self._encode_slice(plain) if plain else iter(())
+        for i, _, added in batch:
+            yield next(encoded) if added is None else (i, np.array([added], self.words.id_type))
 
     def _encode_slice(self, batch: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray]]:
         joined = "".join(part for _, part in batch)
@@ -313,19 +346,23 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
 
 def token_offsets(text: str, path: str) -> list[tuple[int, int]]:
     """The bytes of the UTF-8 text, from and to, that each token stands for."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if not len(points):
-        return []
-    starts = piece_starts(points, np.array([0])).tolist()
+    words = vocabulary(path)
     found, at = [], 0
-    for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
-        piece = text[a:b]
-        # One character stands for one byte, but the model counts offsets of that character's
-        # own UTF-8 form; the bytes of each token tell them apart.
-        for token in vocabulary(path).merge(piece):
-            end = at + len(vocabulary(path).token_bytes[token.id])
+    for part, added in words.split(text):
+        if added is not None:
+            end = at + len(words.token_bytes[added])
             found.append((at, end))
             at = end
+            continue
+        points = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+        starts = piece_starts(points, np.array([0])).tolist()
+        for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+            # One character stands for one byte, but the model counts offsets of that character's
+            # own UTF-8 form; the bytes of each token tell them apart.
+            for token in words.merge(part[a:b]):
+                end = at + len(words.token_bytes[token.id])
+                found.append((at, end))
+                at = end
     return found
 
 

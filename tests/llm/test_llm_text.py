@@ -59,6 +59,25 @@ def test_long_texts_go_through_in_slices(monkeypatch):
     assert [x.tolist() for x in bpe.encode_texts([text, "", text], MULTI)] == [x.tolist() for x in whole]
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x\n\n<|endoftext|>  ", " <|endoftext|", "it's<|endoftext|>'s", ""]
+
+
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    tok = Tokenizer.from_file(BYTE_50K)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in ADDED]
+    assert [x.tolist() for x in bpe.encode_texts(ADDED, BYTE_50K)] == want and 50256 in want[0]
+    for text, ids in zip(ADDED, want, strict=True):
+        assert bpe.decode_ids(ids, BYTE_50K) == text.encode()
+        assert len(bpe.token_offsets(text, BYTE_50K)) == len(ids)
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    token_files.write_tokens(docs, f"{tmp_path}/t", BYTE_50K, partitions=2)
+    rows = sorted(token_files.read_tokens(spark, f"{tmp_path}/t").collect(), key=lambda r: r.key)
+    assert [r.n_tokens for r in rows] == [len(ids) + 1 for ids in want]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for ids in want]
+    histogram = token_counts.length_histogram(docs, BYTE_50K).collect()
+    assert sum(r.n_tokens * r.documents for r in histogram) == sum(map(len, want))
+
+
 def test_a_stream_joins_split_characters():
     ids = bpe.encode_texts(["🙂 日本語"], MULTI)[0].tolist()
     assert "".join(bpe.decode_stream([[i] for i in ids], MULTI)) == "🙂 日本語"
