@@ -2,7 +2,9 @@
 
 Vectors are projected to a few dimensions, shifted by a random offset per curve, and numbered
 along a Hilbert curve; several projections and offsets give several orderings. Each ordering is
-range-partitioned in Spark into stretches of about equal size. A query looks into the stretch it
+range-partitioned in Spark into stretches. Near copies share a number and so a stretch, however
+many they are; such a stretch is cut into blocks of about equal size by the hash of its vectors,
+and every query of the stretch meets all of them. A query looks into the stretch it
 would lie in and the ones beside it on every curve; these windows are merged and reranked by the
 exact measure. What the best found so far are then tells how far to open the window on the first
 curve: a stretch is read as well if a vector in it may be as near, by its centre and radius.
@@ -36,6 +38,8 @@ BITS = 8
 # Classes in a stretch of a curve, and queries that one task holds against a stretch.
 STRETCH = 4096
 QUERIES = 4096
+# Vectors that are multiplied with a block of queries at a time.
+VECTORS = 4096
 # Rows of the sample that gives the scale of the projections and the ends of the stretches.
 SAMPLE = 20_000
 # Difference of inner products that rounding may make.
@@ -117,6 +121,23 @@ def best_of(
     A matrix product chooses candidates; their scores are summed again row by row, so equal
     vectors have equal scores wherever they stand.
     """
+    if len(vectors) > VECTORS:
+        parts = []
+        bound = np.full(len(queries), -np.inf) if least is None else least.astype(np.float64)
+        for at in range(0, len(vectors), VECTORS):
+            some = slice(at, at + VECTORS)
+            part = best_of(queries, query_ids, vectors[some], ids[some], k, bound)
+            parts.append(part)
+            full = [x[-1] if len(x) == k else -np.inf for x in part[1]]
+            bound = np.maximum(bound, full)
+        found_ids, found_scores = [], []
+        for i in range(len(queries)):
+            own = np.concatenate([p[0][i] for p in parts])
+            scores = np.concatenate([p[1][i] for p in parts])
+            order = np.lexsort((own, -scores))[:k]
+            found_ids.append(own[order])
+            found_scores.append(scores[order])
+        return found_ids, found_scores
     found_ids, found_scores = [], []
     for at in range(0, len(queries), 512):
         block = queries[at : at + 512]
@@ -220,6 +241,19 @@ def nearest(
         ),
         "placed",
     )
+    # Places that hold more than two stretches, and the blocks they are cut into: at most a row for
+    # each two stretches of a curve.
+    on_curves = F.explode(
+        F.transform("places", lambda p, i: F.struct(i.alias("curve"), p.alias("place")))
+    ).alias("at")
+    crowded = (
+        placed.select(on_curves)
+        .groupBy("at.curve", "at.place")
+        .count()
+        .filter(F.col("count") > 2 * stretch)
+        .select("curve", "place", F.ceil(F.col("count") / stretch).cast("int").alias("blocks"))
+    )
+    blocks = crowded.collect()
     asked = placed.filter(F.col("q") > 0)
     n_queries = asked.count()
     if not n_queries:
@@ -234,6 +268,21 @@ def nearest(
         spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0)
         left = queries.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int"))
         right = stretches.withColumn("salt", spread.cast("int") if salts == 1 else spread)
+        by = ["curve", "place", "salt"]
+        if blocks:
+
+            def cut(side: DataFrame) -> DataFrame:
+                made = spark.createDataFrame(blocks, "curve int, place bigint, blocks int")
+                return side.join(F.broadcast(made), ["curve", "place"], "left")
+
+            n = F.coalesce("blocks", F.lit(1))
+            left = cut(left).withColumn("block", F.explode(F.sequence(F.lit(0), n - 1))).drop("blocks")
+            # Another seed than the salt of the queries, which are vectors of the stretch too.
+            block = F.pmod(F.xxhash64("class", F.lit(1)), n).cast("int")
+            right = cut(right).withColumn("block", block).drop("blocks")
+            # Both sides come from one table: columns of their own, or the groups are ambiguous.
+            left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+            by = [*by, "block"]
 
         def both(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(v):
@@ -249,7 +298,6 @@ def nearest(
             )
             return pd.DataFrame({"query": own, "near": near, "scores": scores})
 
-        by = ["curve", "place", "salt"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(both, answer)
 
     def merge(parts: DataFrame) -> DataFrame:
@@ -268,9 +316,6 @@ def nearest(
         F.greatest(F.col("at.place") - 1, F.lit(0)),
         F.least(F.col("at.place") + 1, F.lit(n_stretches - 1)),
     )
-    on_curves = F.explode(
-        F.transform("places", lambda p, i: F.struct(i.alias("curve"), p.alias("place")))
-    ).alias("at")
     curved = placed.select("class", "vector", on_curves).select(
         "class", "vector", F.col("at.curve").alias("curve"), F.col("at.place").alias("place")
     )

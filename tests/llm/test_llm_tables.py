@@ -145,6 +145,42 @@ def test_nearest_against_brute_force(spark, stretch):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_one_vector_are_cut_into_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(400, 8))
+    vectors[100:] = vectors[0] + rng.normal(size=(300, 8)) * 1e-6  # one cell of every curve
+    whole = neighbours.best_of
+
+    def bounded(queries, query_ids, found, *rest):
+        if len(found) > 64:
+            raise ValueError(f"{len(found)} vectors in one task")
+        return whole(queries, query_ids, found, *rest)
+
+    monkeypatch.setattr(neighbours, "best_of", bounded)
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, k=5, stretch=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 400, 20):
+        scores = (vectors * vectors[q]).sum(1)
+        scores[q] = -np.inf
+        order = np.lexsort((np.arange(400), -scores))[:5]
+        assert list(enumerate(order.tolist(), 1)) == sorted(got[q])
+
+
+def test_best_in_blocks_is_best_of_all(monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, size=(500, 3)).astype(float)
+    ids = rng.permutation(500)
+    least = np.where(np.arange(40) % 2, -np.inf, 5.0)
+    want = [neighbours.best_of(vectors[:40], ids[:40], vectors, ids, 7, x) for x in (None, least)]
+    monkeypatch.setattr(neighbours, "VECTORS", 64)
+    got = [neighbours.best_of(vectors[:40], ids[:40], vectors, ids, 7, x) for x in (None, least)]
+    for a, b in zip(want, got, strict=True):
+        assert [x.tolist() for x in a[0]] == [x.tolist() for x in b[0]]
+        assert [x.tolist() for x in a[1]] == [x.tolist() for x in b[1]]
+
+
 def test_pipeline_stages_against_their_operators(spark):
     import corpus_pipeline
 
