@@ -93,3 +93,33 @@ def pick_turns(
             F.when(F.count(F.when(mine, 1)) > 0, held["t"]).otherwise(F.lit(default)).alias(name)
         )
     return turns.groupBy(conversation).agg(*columns)
+
+
+def picked_messages(
+    turns: DataFrame,
+    which: str,
+    *roles: str,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+) -> DataFrame:
+    """One ``messages`` array per conversation with the ``which`` ("first" or "last") turn of each
+    role only, in the order of ``turns_to_messages``.
+
+    For picks and pairs that read no other turn: they find in it what they would find in the whole
+    conversation, whose array is never made. Every task first reduces its own rows.
+    """
+    end = {"first": F.min, "last": F.max}[which]
+    said = F.struct(F.col(turn).alias("at"), F.col(role).alias("role"), F.col(text).alias("content"))
+    ends = [end(F.when(F.col(role) == wanted, said)).alias(f"_{i}") for i, wanted in enumerate(roles)]
+    picked = F.array_sort(F.array_compact(F.array(*[f"_{i}" for i in range(len(roles))])))
+    plain = F.transform(picked, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return turns.groupBy(conversation).agg(*ends).select(conversation, plain.alias("messages"))
+
+
+def count_messages(
+    turns: DataFrame, *by: str, conversation: str = "conv_id", name: str = "n"
+) -> DataFrame:
+    """Messages per conversation and ``by``, counted in the turn table."""
+    return turns.groupBy(conversation, *by).agg(F.count("*").cast("int").alias(name))

@@ -45,7 +45,7 @@ def message_turns(spark, sf_dir):
     FROM ({inputs.TURNS_SQL}) GROUP BY conv_id""")
 def first_by_role(spark, sf_dir):
     messages = F.col("messages")
-    return inputs.chat_rows(spark, sf_dir).select(
+    return inputs.first_messages(spark, sf_dir).select(
         "conv_id",
         chat.first_content(messages, "user", chat.NO_USER_MESSAGE).alias("user_prompt"),
         chat.first_content(messages, "assistant", chat.NO_ASSISTANT_MESSAGE).alias("assistant_response"),
@@ -60,7 +60,7 @@ def first_by_role(spark, sf_dir):
     FROM ({IDENTITY_SQL}) GROUP BY conv_id""")
 def last_by_speaker(spark, sf_dir):
     said = F.col("conversations")
-    return inputs.identity(spark, sf_dir).select(
+    return inputs.last_said(spark, sf_dir).select(
         "conv_id",
         chat.last_value(said, "human", chat.NO_HUMAN_VALUE).alias("user_prompt"),
         chat.last_value(said, "assistant", chat.NO_ASSISTANT_VALUE).alias("assistant_response"),
@@ -73,7 +73,7 @@ def last_by_speaker(spark, sf_dir):
     FROM ({IDENTITY_SQL}) GROUP BY conv_id""")
 def last_human_prompt(spark, sf_dir):
     said = F.col("conversations")
-    return inputs.identity(spark, sf_dir).select(
+    return inputs.last_said(spark, sf_dir).select(
         "conv_id",
         chat.last_value(said, "human").alias("prompt"),
         chat.has_speaker(said, "human").alias("asked"),
@@ -97,15 +97,7 @@ def whole_conversation_picks(spark, sf_dir):
     SELECT conv_id, role, count(*)::INTEGER AS n FROM ({inputs.TURNS_SQL})
     GROUP BY conv_id, role""")
 def messages_of_role(spark, sf_dir):
-    counted = F.array(*[
-        F.struct(F.lit(role).alias("role"), F.size(chat.of_role(F.col("messages"), role)).alias("n"))
-        for role in ("system", "user", "assistant")
-    ])
-    return (
-        inputs.chat_rows(spark, sf_dir)
-        .select("conv_id", F.inline(counted).alias("role", "n"))
-        .filter("n > 0")
-    )
+    return turns.count_messages(inputs.table(spark, sf_dir, "conversations"), "role")
 
 
 BUILD_SQL = """
@@ -199,7 +191,7 @@ def render_chatml(spark, sf_dir):
                AS "Assistant Response"
     FROM ({inputs.TURNS_SQL}) GROUP BY conv_id ORDER BY conv_id LIMIT 3""")
 def chat_preview(spark, sf_dir):
-    return preview.preview_chat(inputs.chat_rows(spark, sf_dir), "conv_id")
+    return preview.preview_chat(inputs.first_messages(spark, sf_dir), "conv_id")
 
 
 @query(f"""
@@ -209,7 +201,7 @@ def chat_preview(spark, sf_dir):
                AS "Assistant Response"
     FROM ({IDENTITY_SQL}) GROUP BY conv_id ORDER BY conv_id LIMIT 5""")
 def conversation_preview(spark, sf_dir):
-    return preview.preview_conversations(inputs.identity(spark, sf_dir), "conv_id")
+    return preview.preview_conversations(inputs.last_said(spark, sf_dir), "conv_id")
 
 
 @query(f"SELECT o_orderkey, question, answer FROM ({inputs.MATH_SQL}) ORDER BY o_orderkey LIMIT 5")

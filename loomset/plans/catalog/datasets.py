@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from loomset import schemas
-from loomset.functions import chat
 from loomset.operators import sampling, turns
 from loomset.plans import flows, inputs
 from loomset.plans.catalog.chats import FLAT_TURNS_SQL
@@ -143,7 +142,7 @@ def row_mapper(spark, sf_dir):
     """A mapper is a function from table to table that keeps only what it computes."""
 
     def mapper(df):
-        return df.select("conv_id", F.size(chat.of_role(F.col("messages"), "user")).alias("asked"),
-                         F.size("messages").alias("n_messages"))
+        asked = F.count(F.when(F.col("role") == "user", 1)).cast("int").alias("asked")
+        return df.groupBy("conv_id").agg(asked, F.count("*").cast("int").alias("n_messages"))
 
-    return inputs.chat_rows(spark, sf_dir).transform(mapper).drop("asked")
+    return inputs.table(spark, sf_dir, "conversations").transform(mapper).drop("asked")

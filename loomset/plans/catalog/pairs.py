@@ -58,7 +58,7 @@ def _sides(pairs):
 
 def _stored(spark, sf_dir, **options):
     return preference.pairs_from_responses(
-        inputs.identity(spark, sf_dir), inputs.responses(spark, sf_dir), "conv_id",
+        inputs.last_said(spark, sf_dir), inputs.responses(spark, sf_dir), "conv_id",
         POSITIVE, ORGANIZATION, "conv_id", **options,
     )
 
@@ -81,7 +81,7 @@ def preference_pairs_that_differ(spark, sf_dir):
 def generated_pairs(spark, sf_dir):
     return _sides(
         preference.generate_pairs(
-            inputs.identity(spark, sf_dir), models.make_acme, POSITIVE, ORGANIZATION, "conv_id"
+            inputs.last_said(spark, sf_dir), models.make_acme, POSITIVE, ORGANIZATION, "conv_id"
         )
     )
 
@@ -91,7 +91,7 @@ def stored_pairs(spark, sf_dir):
     """The whole preference flow: conversations, answers, pairs, dataset, pairs as stored."""
     return _sides(
         flows.preference_training(
-            inputs.identity(spark, sf_dir), models.make_acme, POSITIVE, ORGANIZATION,
+            inputs.last_said(spark, sf_dir), models.make_acme, POSITIVE, ORGANIZATION,
             shared_path(spark, "pairs"), "identity", "conv_id",
         )
     )

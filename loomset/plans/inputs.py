@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions import chat
-from loomset.operators.turns import to_identity, turns_to_messages
+from loomset.operators.turns import picked_messages, to_identity, turns_to_messages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,11 +96,16 @@ TURNS_SQL = """
     FROM conversations"""
 
 
-def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, conversations`` in from/value form, without system turns."""
-    return chat_rows(spark, sf_dir).select(
-        "conv_id", to_identity(F.col("messages")).alias("conversations")
-    )
+def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, messages``: only the first user and the first assistant turn."""
+    return picked_messages(table(spark, sf_dir, "conversations"), "first", "user", "assistant")
+
+
+def last_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, conversations`` in from/value form: only the last turn of each speaker."""
+    return picked_messages(
+        table(spark, sf_dir, "conversations"), "last", "user", "human", "assistant"
+    ).select("conv_id", to_identity(F.col("messages")).alias("conversations"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,38 @@ def test_previews(spark):
     assert neither.count() == 0 and neither.columns == ["User Prompt", "Assistant Response"]
     assert preview.preview_rows(chats, "i").count() == 5
     preview.show_full(preview.preview_rows(chats, "i", 1))
+
+
+FROM_TURNS = (
+    "first_by_role last_by_speaker last_human_prompt messages_of_role row_mapper preference_pairs "
+    "preference_pairs_that_differ generated_pairs chat_preview conversation_preview pair_preview"
+).split()
+
+
+@pytest.mark.parametrize("name", FROM_TURNS)
+def test_picks_counts_and_pairs_collect_no_conversation(spark, name):
+    import __spark_entry__ as entry
+
+    made = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_picked_messages_give_what_whole_conversations_give(spark):
+    rows = [(1, t, r, f"{r}{t}") for t, r in enumerate(["system", "user", "assistant", "user", "human", "tool"])]
+    rows += [(2, 0, "system", "s"), (3, 5, "user", None), (3, 5, "user", "b"), (3, 5, "assistant", "a"), (4, 1, "assistant", None), (4, 0, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    whole = turns.turns_to_messages(df)
+    first = turns.picked_messages(df, "first", "user", "assistant")
+    last = turns.picked_messages(df, "last", "user", "human", "assistant")
+
+    def picks(table, pick, said, *roles):
+        found = table.select("conv_id", said.alias("said"))
+        return sorted(map(tuple, found.select("conv_id", *[pick(F.col("said"), r, "none") for r in roles]).collect()))
+
+    said, spoken = F.col("messages"), turns.to_identity(F.col("messages"))
+    want = picks(whole, chat.first_content, said, "user", "assistant")
+    assert picks(first, chat.first_content, said, "user", "assistant") == want and len(want) == 4
+    want = picks(whole, chat.last_value, spoken, "human", "assistant")
+    assert picks(last, chat.last_value, spoken, "human", "assistant") == want and len(want) == 4
+    counted = {(r.conv_id, r.role): r.n for r in turns.count_messages(df, "role").collect()}
+    assert counted[1, "user"] == 2 and counted[1, "tool"] == 1 and sum(counted.values()) == len(rows)
