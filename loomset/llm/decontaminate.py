@@ -12,7 +12,8 @@ benchmark's terms occur and once to store postings, and only postings are shuffl
 A null text has no words. A document of any length is read whole. Items without words are never
 found; repeated documents get a row each, and so do documents without id. An item that stands in
 the table more than once, or shares its id with another, counts once for each id. Empty tables give
-no rows, or no hits.
+no rows, or no hits. Items without id are looked for like all others: their words count in ``n_hit``
+and contaminate; the list of ids has none for them, and ``n_items`` counts all of them as one.
 """
 
 from __future__ import annotations
@@ -53,13 +54,23 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+# Items without id have this key; the keys of others are marked, so none of them is equal to it.
+_NO_ID = "-"
+
+
+def _id_of(item: str) -> Column:
+    return F.when(F.col(item) != _NO_ID, F.expr(f"substring({item}, 2)"))
+
+
 def item_terms(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """``item, words, n``: items with words, each distinct text once for each id."""
+    """``item, words, n``: items with words, each distinct text once for each id. ``item`` is a key
+    that is never null."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{item}`").cast("string")), F.lit(_NO_ID))
     return (
         benchmark.select(
-            F.col(f"`{item}`").cast("string").alias("item"), words_of(F.col(f"`{text}`")).alias("words")
+            key.alias("item"), words_of(F.col(f"`{text}`")).alias("words")
         )
-        .filter(F.col("item").isNotNull() & (F.size("words") > 0))
+        .filter(F.size("words") > 0)
         .distinct()
         .withColumn("n", F.size("words"))
         .withColumn("text", F.xxhash64("words"))
@@ -235,7 +246,9 @@ def contamination(
         found.select("document", "item")
         .distinct()
         .groupBy("document")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        .agg(
+            F.array_sort(F.collect_list(_id_of("item"))).alias("items"), F.count("*").alias("n_items")
+        )
     )
     hits = hit.join(named, "document")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -245,7 +258,7 @@ def contamination(
         F.col("key").alias(key),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.size(items).cast("bigint").alias("n_items"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
@@ -292,7 +305,7 @@ def proximity_matches(
     found = near.select("document", "item", "place", "position").distinct()
     return (
         keyed.select("key", "document").join(found, "document").select(
-            F.col("key").alias(key), "item", "place", "position"
+            F.col("key").alias(key), _id_of("item").alias("item"), "place", "position"
         )
     )
 

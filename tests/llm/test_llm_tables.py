@@ -145,6 +145,23 @@ def test_nearest_against_brute_force(spark, stretch):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_benchmark_items_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [(None, " ".join(words[:12])), (None, " ".join(words[20:31])), (7, " ".join(words[40:52]))]
+    docs = [(1, " ".join(words[:35])), (2, " ".join(words)), (3, "x " + " ".join(words[40:52])), (4, "nothing")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    db = duckdb.connect()
+    db.register("documents", documents.toArrow())
+    db.register("benchmark", benchmark.toArrow())
+    want = db.execute(SQL["op7_decontamination"])
+    names = [d[0] for d in want.description]
+    got = decontaminate.contamination(documents, benchmark).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 23, 2: 35, 3: 12, 4: 0}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(documents, benchmark).collect()] == [4]
+
+
 def test_near_copies_of_one_vector_are_cut_into_blocks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(400, 8))
