@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from loomset.llm import (
     bpe,
+    collocations,
     decontaminate,
     html_text,
     licenses,
     near_duplicates,
     neighbours,
     quality,
+    repeats,
+    spelling,
     token_counts,
     token_files,
     toxicity,
@@ -93,6 +96,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_licenses,
         op10_quality,
+        op11_collocations,
+        op12_spelling_variants,
+        op13_repeated_passages,
         pipeline,
     )
 }
@@ -174,4 +192,56 @@ SQL = {
     SELECT docs.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
            docs.doc_id = component_id AS kept
     FROM docs LEFT JOIN sizes USING (doc_id) JOIN parts ON parts.doc_id = docs.doc_id""",
+    "op11_collocations": rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+    grams AS (
+        SELECT lang, size, array_to_string(list_slice(w, b + 1, b + size), ' ') AS phrase
+        FROM (SELECT lang, w, size, unnest(range(0, len(w) - size + 1)) AS b
+              FROM words, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size)),
+    f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (
+        SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k
+        FROM f WHERE size > 1),
+    scores AS (
+        SELECT c.lang, c.phrase, c.size, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+        FROM cuts c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, k), ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, k + 1, c.size), ' ')),
+    lowest AS (
+        SELECT lang, phrase, a, l, r, score FROM scores
+        QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_parts AS (
+        SELECT lang, f, part, unnest(range(0, size - part + 1)) AS b, string_split(phrase, ' ') AS w
+        FROM f, (SELECT unnest([2, 3]) AS part) WHERE part < size),
+    held AS (
+        SELECT lang, array_to_string(list_slice(w, b + 1, b + part), ' ') AS phrase, max(f) AS most
+        FROM inner_parts GROUP BY ALL),
+    ranked AS (
+        SELECT lang, phrase, a, l, r, score,
+               row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+        FROM lowest LEFT JOIN held USING (lang, phrase)
+        WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT)
+    SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+    FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""",
+    "op13_repeated_passages": r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    windows AS (
+        SELECT doc_id, b, hash(list_slice(w, b + 1, b + 20)) AS h, list_slice(w, b + 1, b + 20) AS s
+        FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS b FROM docs WHERE len(w) >= 20)),
+    later AS (
+        SELECT doc_id, b FROM windows
+        QUALIFY row_number() OVER (PARTITION BY h, s ORDER BY doc_id, b) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(b, b + 20)) AS p FROM later),
+    words AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM docs),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+        FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(text, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)""",
 }
