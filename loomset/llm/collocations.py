@@ -20,6 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ SCALE = 2_000_000
 # Shards of a language: at most 8, which the keys of bitmaps have room for.
 SHARDS = 6
 # Bytes of text that are counted together before they are shuffled.
-PORTION = 8 << 20
+PORTION = 4 << 20
+# Phrases that are spelled out at a time.
+SPELLED = 1 << 16
 # Parts of a language that are cut down to the first phrases before they meet.
 PARTS = 64
 
@@ -82,16 +85,21 @@ class _Portion:
     def shards(self, n: int) -> np.ndarray:
         return self.group[:n] & ~_LANGUAGE
 
-    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
-        """The ``size`` words from each of these words on, with one space between them."""
+    @cached_property
+    def _spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each word ends with it."""
         starts, ends, _ = self.words
         data = np.append(np.frombuffer(self.raw, np.uint8), np.uint8(0x20))
         kept = np.append(self.inside, False)
         kept[ends] = True
         data[ends] = 0x20
-        after = np.cumsum(ends - starts + 1)
-        first = after - (ends - starts + 1)
-        return gathered(data[kept], first[at], after[at + size - 1] - 1)
+        return data[kept], np.cumsum(ends - starts + 1)
+
+    def phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        """The ``size`` words from each of these words on, with one space between them."""
+        data, after = self._spaced
+        lengths = self.words.ends[at] - self.words.starts[at] + 1
+        return gathered(data, after[at] - lengths, after[at + size - 1] - 1)
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Portion, pa.RecordBatch]]:
@@ -190,16 +198,17 @@ def global_counts(texts: DataFrame, wanted: Broadcast, longest: int) -> DataFram
                 if not len(at):
                     continue
                 first, n = counted(keys)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(2).take(pa.array(portion.owner[at])),
-                        portion.phrases(at, size),
-                        pa.array(np.full(len(at), size, np.int32)),
-                        pa.array(n.astype(np.int64)),
-                    ],
-                    ["lang", "phrase", "words", "n"],
-                )
+                for i in range(0, len(first), SPELLED):
+                    these = at[first[i : i + SPELLED]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(2).take(pa.array(portion.owner[these])),
+                            portion.phrases(these, size),
+                            pa.array(np.full(len(these), size, np.int32)),
+                            pa.array(n[i : i + SPELLED].astype(np.int64)),
+                        ],
+                        ["lang", "phrase", "words", "n"],
+                    )
 
     rows = texts.mapInArrow(count, "lang string, phrase string, words int, n bigint")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
