@@ -43,7 +43,7 @@ WINDOW = 20
 # Words at an anchor.
 PREFIX = 6
 # Suffix rows of a prefix that one task should hold.
-GROUP = 8192
+GROUP = 2048
 # Bytes of text that are worked on together.
 PORTION = 8 << 20
 
