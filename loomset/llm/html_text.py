@@ -42,7 +42,7 @@ _BLOCK = frozenset(
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEVER = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea "
+    "head title script style noscript template nav footer aside button select textarea label legend "
     "option iframe svg math canvas object audio video menu dialog datalist".split()
 )
 _CONTAINER = frozenset("article main".split())
@@ -64,7 +64,7 @@ _KEEPS_OPEN = frozenset("html body div section article main table ul ol dl block
 
 # Tags that may hold a box. Headings, paragraphs, items and what stands in a line are no boxes.
 _BOX = frozenset(
-    "article aside details div dl fieldset figure header ol section table ul".split()
+    "article aside details div dl fieldset figure form header ol section table ul".split()
 )
 # Words of class, id and role that name what is no article, and words that may stand beside them.
 _NOISE = frozenset(
@@ -83,6 +83,10 @@ _BESIDE = frozenset(
     "group holder icons inner item items left link links list main media module outer page panel "
     "post posts right row section site slot stories thread top unit wrap wrapper".split()
 )
+# What links under a reader's comment say, whatever the comment's classes are.
+_ANSWER = frozenset("reply antworten répondre responder report flag".split())
+# Characters, such as a date, that may stand beside that link.
+_BESIDE_ANSWER = 40
 _NOISE_HEADER = frozenset(["header", "pageheader", "siteheader"])
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -123,6 +127,8 @@ def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
     to link to and names none."""
     if tag not in _BOX:
         return False
+    if tag == "form":  # a page may be wrapped in one
+        return True
     noise = _NOISE_ARTICLE if tag == "article" else _NOISE
     for found in _ATTRIBUTE.finditer(attrs):
         name, value = found[1].lower(), found[2] or found[3] or found[4]
@@ -146,9 +152,16 @@ class PageReader:
         self.parent = [0]
         self.box = [0]
         self.tag = [""]
+        # Of elements: the innermost block, and whether they lie in a tag that names an article.
+        self.within = [0]
+        self.named = [False]
         # Open elements: tag, element, path, skipped.
         self.open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         self.count: dict[str, int] = defaultdict(int)
+        # Where the open elements of each tag are, those that are blocks, and those that end no other.
+        self.at: dict[str, list[int]] = defaultdict(lambda: [0])
+        self.blocks_at = [0]
+        self.keeps_at = [0]
         self.block = 0
         # Of texts: path, element, block, text, in a link.
         self.texts: list[tuple[int, int, int, str, bool]] = []
@@ -194,10 +207,10 @@ class PageReader:
     def start(self, tag: str, attrs: str) -> None:
         if tag in _BLOCK:
             self.block += 1
-            self._end_open("p", _KEEPS_OPEN)
+            self._end_open("p")
         if tag in _ENDS:
             for other in _ENDS[tag]:
-                self._end_open(other, _KEEPS_OPEN)
+                self._end_open(other)
         if tag in _VOID:
             if tag == "br":
                 self.add_text(" ")
@@ -206,7 +219,7 @@ class PageReader:
         box = False
         if not skipped:
             in_article = self.count["article"] > 0 or self.count["main"] > 0
-            if attrs.strip(" /") and tag not in ("html", "body"):
+            if tag == "form" or (attrs.strip(" /") and tag not in ("html", "body")):
                 box = _is_noise(tag, attrs, in_article)
                 skipped = tag != "main" and _is_hidden(attrs)
             if tag in _NEVER:
@@ -222,21 +235,28 @@ class PageReader:
         self.parent.append(above)
         self.box.append(len(self.tag) if box else self.box[above])
         self.tag.append(tag)
+        self.within.append(len(self.tag) - 1 if tag in _BLOCK else self.within[above])
+        self.named.append(self.named[above] or tag in _CONTAINER)
+        for places in self._places(tag):
+            places.append(len(self.open))
         self.open.append((tag, len(self.tag) - 1, path, skipped))
         self.count[tag] += 1
 
+    def _places(self, tag: str) -> list[list[int]]:
+        found = [self.at[tag]]
+        if tag in _BLOCK:
+            found.append(self.blocks_at)
+        if tag in _KEEPS_OPEN:
+            found.append(self.keeps_at)
+        return found
+
     def end(self, tag: str) -> None:
         if tag in _BLOCK:
             self.block += 1
         if not self.count[tag]:
             return
-        if tag not in _BLOCK:
-            # A stray end of an inline element ends no block.
-            for name, *_ in reversed(self.open):
-                if name == tag:
-                    break
-                if name in _BLOCK:
-                    return
+        if tag not in _BLOCK and self.at[tag][-1] < self.blocks_at[-1]:
+            return  # a stray end of an inline element ends no block
         while self.open[-1][0] != tag:
             self._pop()
         self._pop()
@@ -249,19 +269,17 @@ class PageReader:
             self.texts.append((path, element, self.block, text, self.count["a"] > 0))
 
     def _pop(self) -> None:
-        self.count[self.open.pop()[0]] -= 1
+        tag = self.open.pop()[0]
+        self.count[tag] -= 1
+        for places in self._places(tag):
+            places.pop()
 
-    def _end_open(self, tag: str, up_to: frozenset[str]) -> None:
-        if not self.count[tag]:
+    def _end_open(self, tag: str) -> None:
+        if not self.count[tag] or self.at[tag][-1] < self.keeps_at[-1]:
             return
-        for name, *_ in reversed(self.open):
-            if name in up_to or name == "":
-                return
-            if name == tag:
-                while self.open[-1][0] != tag:
-                    self._pop()
-                self._pop()
-                return
+        while self.open[-1][0] != tag:
+            self._pop()
+        self._pop()
 
 
 def path_scores(texts: list[tuple[int, int, int, str, bool]]) -> dict[int, float]:
@@ -287,6 +305,43 @@ def path_scores(texts: list[tuple[int, int, int, str, bool]]) -> dict[int, float
     return dict(zip(order, np.sqrt(own * smooth[0] * smooth[1]).tolist(), strict=True))
 
 
+def _answered(reader: PageReader, texts: list[tuple[int, int, int, str, bool]]) -> list[bool]:
+    """Of every element whether it lies in a reader's comment: an item or box with a link to answer
+    it. Of comments that stand beside each other, the children of what holds them all are dropped;
+    one comment goes with the box right around its link. Empty without comments."""
+    plain: dict[int, int] = defaultdict(int)
+    for _, _, block, text, linked in texts:
+        plain[block] += 0 if linked else len(text.strip())
+    links = [
+        e
+        for _, e, block, text, linked in texts
+        if linked and plain[block] <= _BESIDE_ANSWER and text.strip(" .:()[]").lower() in _ANSWER
+    ]
+    if not links:
+        return []
+    parent, tag = reader.parent, reader.tag
+    held = [0] * len(parent)
+    for e in links:
+        held[e] += 1
+    for e in range(len(parent) - 1, 0, -1):  # children have larger numbers
+        held[parent[e]] += held[e]
+    around = [False] * len(parent)
+    if len(links) > 1:
+        for e in range(1, len(parent)):
+            above = parent[e]
+            around[e] = around[above] or (0 < held[e] < len(links) and held[above] == len(links))
+    else:
+        box = parent[links[0]]
+        while box and tag[box] not in ("li", "div", "dd"):
+            box = parent[box]
+        for e in range(1, len(parent)) if box else ():
+            around[e] = around[parent[e]] or e == box
+        inside = sum(len(text.strip()) for _, e, _, text, _ in texts if around[e])
+        if 2 * inside > sum(len(text.strip()) for *_, text, _ in texts):
+            return []
+    return around
+
+
 def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
     """The texts of the blocks that make up the article."""
     texts = reader.texts
@@ -296,12 +351,6 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
     # A box that is named as no article is one all the same if it holds more text than what is in
     # no box, on a path that scores as high; not so outside a tag that names an article.
     if any(reader.box):
-
-        def in_article(element: int) -> bool:
-            while element and reader.tag[element] not in _CONTAINER:
-                element = reader.parent[element]
-            return element > 0
-
         best: dict[int, float] = defaultdict(float)
         weights: dict[int, int] = defaultdict(int)
         tagged = False
@@ -310,15 +359,22 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
                 box = reader.box[element]
                 best[box] = max(best[box], scores[path])
                 weights[box] += len(text.strip())
-                tagged = tagged or (not box and bool(text.strip()) and in_article(element))
-        out = {
-            box
-            for box in set(reader.box) - {0}
-            if best[box] < best[0] or weights[box] <= weights[0] or (tagged and not in_article(box))
-        }
+                tagged = tagged or (not box and bool(text.strip()) and reader.named[element])
+        out: set[int] = set()
+        for box in sorted(set(reader.box) - {0}):
+            # A box in a box that stays is held against that one.
+            above = reader.box[reader.parent[box]]
+            above = 0 if above in out else above
+            lower = best[box] < best[above] or weights[box] <= weights[above]
+            if lower or (tagged and not reader.named[box]):
+                out.add(box)
         texts = [t for t in texts if reader.box[t[1]] not in out]
-        if not any(text.strip() for *_, text, _ in texts):
-            return []
+    answered = _answered(reader, texts)
+    if answered:
+        texts = [t for t in texts if not answered[t[1]]]
+    if not any(text.strip() for *_, text, _ in texts):
+        return []
+    if len(texts) < len(reader.texts):
         scores = path_scores(texts)
     values = np.array(list(scores.values()))
     least = min(values.max(), THRESHOLD * values.std())
@@ -327,14 +383,16 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
     for above in parent[1:]:
         children[above] += 1
 
-    # Of every element, whose children have larger numbers: whether it lies in an article, and the
-    # section its blocks stand in.
-    named = [False] * len(parent)
+    # Of every element, whose children have larger numbers: the last one inside it, and the section
+    # its blocks stand in.
+    named, within = reader.named, reader.within
+    last_in = list(range(len(parent)))
+    for e in range(len(parent) - 1, 0, -1):
+        last_in[parent[e]] = max(last_in[parent[e]], last_in[e])
     section = [0] * len(parent)
     listed = [0] * len(parent)
     for e in range(1, len(parent)):
         above = parent[e]
-        named[e] = named[above] or tag[e] in _CONTAINER
         if tag[e] in _SECTION:
             section[e] = e
         else:
@@ -352,9 +410,7 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
         size = len(text.strip())
         if not size:
             continue
-        own = element
-        while own and tag[own] not in _BLOCK:
-            own = parent[own]
+        own = within[element]
         found = blocks.setdefault(block, [own, 0, 0, -1.0, ""])
         found[1] += size
         found[4] += text
@@ -399,6 +455,7 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
     # A heading stands over the blocks that follow up to the next one of its rank, as far as the
     # element reaches that holds it with more than headings.
     over: dict[str, int] = {}
+    holders: dict[int, int] = {}
     for block in sorted(blocks):
         element = blocks[block][0]
         if tag[element] in _HEADING:
@@ -407,13 +464,13 @@ def content_texts(reader: PageReader) -> list[tuple[int, int, int, str, bool]]:
             over[tag[element]] = block
         elif block in kept:
             for head in over.values():
-                own = parent[blocks[head][0]]
-                while own and tag[own] in ("div", "header", "hgroup") and own not in hosts:
-                    own = parent[own]
-                inside = element
-                while inside > own:
-                    inside = parent[inside]
-                if inside == own and (named[blocks[head][0]] or not hinted):
+                own = holders.get(head)
+                if own is None:
+                    own = parent[blocks[head][0]]
+                    while own and tag[own] in ("div", "header", "hgroup") and own not in hosts:
+                        own = parent[own]
+                    holders[head] = own
+                if own <= element <= last_in[own] and (named[blocks[head][0]] or not hinted):
                     kept.add(head)
     return [t for t in texts if t[2] in kept]
 
