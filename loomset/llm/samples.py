@@ -25,16 +25,17 @@ def labelled_sample(
 ) -> list:
     """At most ``rows`` rows ``doc_id, text, *names`` with every label known, by hash order of
     ``doc_id``, none of them held out. The sample depends on the tables' content only."""
+    usable = F.col("text").isNotNull() & (F.length("text") <= chars)
+    texts = documents.select("doc_id", "text").filter(usable)
     known = labels.select("doc_id", *names).dropna().filter(~held_out())
+    # Labels of documents that are not there would use up the bound.
     chosen = (
-        known.groupBy("doc_id")
+        known.join(texts.select("doc_id"), "doc_id", "left_semi")
+        .groupBy("doc_id")
         .agg(*[F.min(name).alias(name) for name in names])
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    texts = documents.select("doc_id", "text").filter(
-        F.col("text").isNotNull() & (F.length("text") <= chars)
-    )
     # The sample is bounded, so it may go to every task.
     found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     return sorted(found.collect(), key=lambda row: row.doc_id)

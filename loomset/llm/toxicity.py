@@ -1,14 +1,18 @@
 """Toxicity by a grammar of weighted finite-state transducers over clauses.
 
-Words become symbols: insult, threat, target, negation, reporting verb or other. Four transducers
-read the symbols of a clause one after the other, composed into one machine: the first marks
-insults and threats that a negation stands before, the second those inside reported speech, the
-third those aimed at someone, and the last counts what comes out with the weights of the words.
-A document is scored on its matched clauses, never on words that match no clause pattern.
+Words become symbols: insult, threatening verb, target, negation, reporting verb, one that tells
+intent, or other. Five transducers read the symbols of a clause; each arc has a weight, and the machine
+they are composed into adds the weights of what its parts do. The first finds threats: a verb with a
+target after it, or a target and intent before it. The second takes weight from insults and
+threats behind a negation, the third from reported ones, the fourth adds to insults with a target on
+either side, the last takes insults that stand alone for no clause. With the weights of the insults
+themselves that makes the weight of a clause, and a document is scored on the weights of its matched
+clauses, never on words.
 
 Which words insult is learned: besides a short list per language, stems that labelled toxic texts
-share, weighted by how much more often they do than other texts. How much a negated, reported or
-aimed match counts is learned as well, from a bounded sample of labelled rows.
+share, weighted by how much more often they do than other texts. From which weight on a document
+is likely toxic is learned as well, both from a bounded sample of labelled rows; without labelled texts
+of both kinds the short list and fixed figures take their place.
 
 A null or empty text matches nothing and gets the score of a text without a match. Texts of any
 length are read whole. Repeated rows give repeated results; an empty table gives an empty result.
@@ -18,8 +22,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +45,16 @@ INSULTS = frozenset(
     "imbécile crétin ordure pathétique dégoûtant minable abruti connard "
     "idiota estúpido estúpida imbécil basura escoria patético patética asqueroso perdedor".split()
 )
-THREATS = frozenset(
-    "kill murder destroy hurt stab shoot beat burn hang strangle "
+# Verbs that threaten the target after them, and forms that threaten one before them as well.
+THREATS = frozenset("kill murder destroy hurt stab shoot beat burn hang strangle".split())
+DOOMS = frozenset(
+    "killed murdered destroyed stabbed shot beaten burned burnt hanged strangled "
     "töten umbringen vernichten erschießen erwürgen "
     "tuer détruire égorger étrangler massacrer "
     "matar destruir golpear estrangular apuñalar".split()
 )
 TARGETS = frozenset(
-    "you your yours yourself he she him her they them these those people "
+    "you your yours yourself he she him her they them people "
     "du dich dir dein deine ihr euch sie ihn leute "
     "tu toi te ton ta vous votre ils elles eux gens "
     "tú ti usted ustedes vosotros ellos ellas gente".split()
@@ -61,6 +69,19 @@ REPORTS = frozenset(
     "dit disait appelé écrit affirme raconte dijo dice llamó escribió afirma cuenta".split()
 )
 
+# Words that tell intent, with a threatening verb.
+INTENTS = frozenset(
+    "i we ll will shall should must gonna going deserve ought "
+    "ich wir werde werden sollst sollte muss je nous vais vas allons devrais yo voy vamos debes".split()
+)
+
+# Weights of the grammar. Learned insults mostly have 3 to 8.
+THREATENED, AIMED = 14.0, 2.0
+NEGATED, REPORTED, ALONE = -14.0, -8.0, -20.0
+
+# Without labelled texts of both kinds.
+PLAIN_WEIGHTS, PLAIN_BIAS = (1.0, 1.0), -2.5
+
 # A stem needs this many toxic texts and this much higher a rate among them.
 STEM_TEXTS = 8
 STEM_RATIO = 5.0
@@ -77,79 +98,140 @@ _FOLD = bytes(
 
 # --- transducers ----------------------------------------------------------------------------------
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "I", "K", "T", "N", "R", "w"
-_MATCH = (INSULT, THREAT)
+INSULT, VERB, DOOM, TARGET, NEGATION, REPORT, INTENT, OTHER = "I", "V", "D", "T", "N", "R", "M", "w"
+# What the first machine writes where a threat is complete, and what stands after a clause.
+THREAT, END = "K", "$"
+SYMBOLS = (INSULT, VERB, DOOM, TARGET, NEGATION, REPORT, INTENT, OTHER, THREAT, END)
+
+Step = Callable[[Hashable, str], tuple[Hashable, str, float]]
 
 
 @dataclass
 class Transducer:
-    """From a state and an input symbol to the next state and an output symbol. An arc that is
-    not listed stays in its state and copies its input."""
+    """From a state and an input symbol to the next state, an output symbol and a weight. States are
+    numbers from 0, the start. An arc that is not listed stays, copies its input and weighs
+    nothing."""
+
+    arcs: dict[tuple[int, str], tuple[int, str, float]] = field(default_factory=dict)
+
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
+
+    def run(self, symbols: list[str]) -> tuple[list[str], float]:
+        """What is written for a clause, and the sum of its weights."""
+        state, written, weight = 0, [], 0.0
+        for symbol in symbols:
+            state, out, more = self.step(state, symbol)
+            written.append(out)
+            weight += more
+        return written, weight
+
+    @classmethod
+    def of(cls, start: Hashable, step: Step) -> Transducer:
+        """The machine with the states that ``step`` reaches from ``start``."""
+        number, todo, machine = {start: 0}, [start], cls()
+        while todo:
+            state = todo.pop()
+            for symbol in SYMBOLS:
+                onward, out, weight = step(state, symbol)
+                if onward not in number:
+                    number[onward] = len(number)
+                    todo.append(onward)
+                machine.arcs[number[state], symbol] = (number[onward], out, weight)
+        return machine
+
 
-    start: int = 0
-    arcs: dict[tuple[int, str], tuple[int, str]] = field(default_factory=dict)
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that feeds what ``first`` writes to ``second`` and adds their weights."""
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str, float]:
+        a, middle, weight = first.step(state[0], symbol)
+        b, out, more = second.step(state[1], middle)
+        return (a, b), out, weight + more
 
+    return Transducer.of((0, 0), step)
 
-def symbols() -> list[str]:
-    """All symbols that arcs may carry: matches may be negated, reported and aimed."""
-    marked = [m + n + r + t for m in _MATCH for n in ("", "-") for r in ("", "'") for t in ("", "+")]
-    return [*marked, TARGET, NEGATION, REPORT, OTHER]
 
+def _less(*counters: int) -> tuple[int, ...]:
+    return tuple(max(0, counter - 1) for counter in counters)
 
-def window_transducer(trigger: str, mark: str, words: int) -> Transducer:
-    """Marks matches among the ``words`` words after a trigger."""
-    machine = Transducer()
-    for state in range(words + 1):
-        left = max(0, state - 1)
-        for symbol in symbols():
-            if symbol == trigger:
-                machine.arcs[state, symbol] = (words, symbol)
-            elif symbol[0] in _MATCH and state > 0:
-                machine.arcs[state, symbol] = (left, symbol + mark)
-            else:
-                machine.arcs[state, symbol] = (left, symbol)
-    return machine
 
+def threats() -> Transducer:
+    """Writes a threat in the place of a target up to three words after a threatening verb, or of
+    a verb form that may stand behind its target, if a target and a word of intent stand up to five
+    words before it."""
 
-def rest_transducer(trigger: str, mark: str) -> Transducer:
-    """Marks all matches that follow a trigger in the clause."""
-    machine = Transducer()
-    machine.arcs[0, trigger] = (1, trigger)
-    for symbol in symbols():
-        if symbol[0] in _MATCH:
-            machine.arcs[1, symbol] = (1, symbol + mark)
-    return machine
+    def step(state, symbol):
+        verb, target, intent = state
+        if symbol == TARGET:
+            return (0, 5, _less(intent)[0]), *((THREAT, THREATENED) if verb else (TARGET, 0.0))
+        if symbol == DOOM and target and intent:
+            return (0, 0, 0), THREAT, THREATENED
+        verb, target, intent = _less(verb, target, intent)
+        if symbol in (VERB, DOOM):
+            return (3, target, intent), OTHER, 0.0
+        if symbol == INTENT:
+            return (verb, target, 5), OTHER, 0.0
+        return (verb, target, intent), symbol, 0.0
 
+    return Transducer.of((0, 0, 0), step)
 
-def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The machine that feeds what ``first`` writes to ``second``, over reachable states."""
-    number = {(first.start, second.start): 0}
-    todo, machine = [(first.start, second.start)], Transducer()
-    while todo:
-        a, b = todo.pop()
-        for symbol in symbols():
-            a_next, middle = first.step(a, symbol)
-            b_next, out = second.step(b, middle)
-            if (a_next, b_next) not in number:
-                number[a_next, b_next] = len(number)
-                todo.append((a_next, b_next))
-            machine.arcs[number[a, b], symbol] = (number[a_next, b_next], out)
-    return machine
+
+def negations() -> Transducer:
+    """Takes weight from insults and threats up to four words after a negation."""
+
+    def step(left, symbol):
+        if symbol == NEGATION:
+            return 4, symbol, 0.0
+        return max(0, left - 1), symbol, NEGATED if left and symbol in (INSULT, THREAT) else 0.0
+
+    return Transducer.of(0, step)
+
+
+def reports() -> Transducer:
+    """Takes weight from all insults and threats after a reporting verb."""
+
+    def step(told, symbol):
+        weight = REPORTED if told and symbol in (INSULT, THREAT) else 0.0
+        return told or symbol == REPORT, symbol, weight
+
+    return Transducer.of(False, step)
+
+
+def targets() -> Transducer:
+    """Adds weight to insults with a target up to four words before or after them."""
+
+    def step(state, symbol):
+        target, insult = state
+        if symbol in (TARGET, THREAT):
+            return (4, 0), symbol, AIMED if insult else 0.0
+        if symbol == INSULT:
+            return (*_less(target), 0 if target else 4), symbol, AIMED if target else 0.0
+        return _less(target, insult), symbol, 0.0
+
+    return Transducer.of((0, 0), step)
+
+
+def lone_words() -> Transducer:
+    """Takes the weight of an insult that is all of its clause."""
+
+    def step(state, symbol):
+        if symbol == END:
+            return "", symbol, ALONE if state == INSULT else 0.0
+        return INSULT if (state, symbol) == ("", INSULT) else OTHER, symbol, 0.0
+
+    return Transducer.of("", step)
+
+
+MACHINES = (threats, negations, reports, targets, lone_words)
 
 
 def grammar() -> Transducer:
-    negated = window_transducer(NEGATION, "-", 3)
-    reported = rest_transducer(REPORT, "'")
-    aimed = window_transducer(TARGET, "+", 4)
-    return compose(compose(negated, reported), aimed)
+    return reduce(compose, [machine() for machine in MACHINES])
 
 
-# Features of a document: weight of its plain, negated, reported and aimed matches, of threats
-# that are aimed, number of matches, their share of the words, and matched clauses.
-FEATURES = 8
+# Features of a document: the weight of its matched clauses, and that weight for each 40 words.
+FEATURES = 2
 
 
 @dataclass
@@ -170,13 +252,15 @@ class Lexicon:
             if n < len(word) and word[:n] in self.stems:
                 return INSULT, self.stems[word[:n]]
         for names, symbol in (
-            (THREATS, THREAT),
+            (THREATS, VERB),
+            (DOOMS, DOOM),
             (TARGETS, TARGET),
             (NEGATIONS, NEGATION),
             (REPORTS, REPORT),
+            (INTENTS, INTENT),
         ):
             if word in names:
-                return symbol, 1.0
+                return symbol, 0.0
         return OTHER, 0.0
 
     def automaton(self):
@@ -184,7 +268,7 @@ class Lexicon:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for phrase in [f" {w} " for w in {*self.words, *THREATS}] + [f" {s}" for s in self.stems]:
+        for phrase in [f" {w} " for w in {*self.words, *THREATS, *DOOMS}] + [f" {s}" for s in self.stems]:
             found.add_word(phrase, 1)
         found.make_automaton()
         return found
@@ -195,36 +279,29 @@ def fold(text: str) -> str:
     return " " + b" ".join(text.lower().encode().translate(_FOLD).split()).decode() + " "
 
 
-def match_features(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
-    """What the machine writes for the clauses of a text, summed."""
+def clause_weights(text: str, lexicon: Lexicon, machine: Transducer) -> tuple[list[float], int]:
+    """The weights of the matched clauses of a text, and how many words it has. A clause that weighs
+    nothing or less is no match."""
     seen: dict[str, tuple[str, float]] = {}
-    sums: dict[str, float] = defaultdict(float)
-    matches = clauses = words = 0
+    found, words = [], 0
     for clause in _CLAUSE_END.split(text.lower()):
-        state, hit = machine.start, False
+        state, weight = 0, 0.0
         for word in _WORD.findall(clause):
             words += 1
             if word not in seen:
                 seen[word] = lexicon.read(word)
-            symbol, weight = seen[word]
-            state, out = machine.step(state, symbol)
-            if out[0] == INSULT or (out[0] == THREAT and "+" in out):
-                # A threat counts only if it is aimed at someone.
-                hit = True
-                matches += 1
-                sums[out] += weight
-        clauses += hit
-    both = [
-        sum(v for k, v in sums.items() if k[0] == INSULT and "-" not in k and "'" not in k),
-        sum(v for k, v in sums.items() if k[0] == INSULT and "-" in k),
-        sum(v for k, v in sums.items() if k[0] == INSULT and "'" in k and "-" not in k),
-        sum(v for k, v in sums.items() if k[0] == INSULT and "+" in k),
-        sum(v for k, v in sums.items() if k[0] == THREAT and "-" not in k and "'" not in k),
-        matches,
-        40 * matches / max(words, 20),
-        clauses,
-    ]
-    return np.log1p(np.array(both, float))
+            symbol, own = seen[word]
+            state, _, more = machine.step(state, symbol)
+            weight += own + more
+        weight += machine.step(state, END)[2]
+        if weight > 0:
+            found.append(weight)
+    return found, words
+
+
+def match_features(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
+    weights, words = clause_weights(text, lexicon, machine)
+    return np.log1p([sum(weights), 40 * sum(weights) / max(words, 20)])
 
 
 @dataclass
@@ -339,6 +416,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
 
 
 def fit_toxicity_rows(texts: list[str], toxic: list[int]) -> ToxicityModel:
+    """Without texts of both kinds, the model of the short list."""
+    if len(set(toxic)) < 2:
+        plain = Lexicon(dict.fromkeys(INSULTS, _UNSEEN_WEIGHT), {})
+        return ToxicityModel(plain, np.array(PLAIN_WEIGHTS), PLAIN_BIAS)
     lexicon = learn_lexicon(texts, toxic)
     machine = grammar()
     x = np.array([match_features(t, lexicon, machine) for t in texts]).reshape(-1, FEATURES)
@@ -350,8 +431,6 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, rows: int | None = Non
     """Fit on a bounded sample of labelled documents, see ``samples``."""
     more = {} if rows is None else {"rows": rows}
     sample = labelled_sample(documents, labels, "toxic", **more)
-    if len({row.toxic > 0 for row in sample}) < 2:
-        raise ValueError("fitting needs labelled texts of both kinds")
     return fit_toxicity_rows([row.text for row in sample], [int(row.toxic > 0) for row in sample])
 
 
