@@ -10,7 +10,9 @@ figures of the whole text (repeated words and lines, length, shares of character
 
 A null or empty text, and one of white space only, has no features: its expected grade and all
 its probabilities are 0. Texts of any length are read whole. Repeated rows give repeated results.
-An empty table gives an empty result; without two grades among the labels fitting raises.
+An empty table gives an empty result. Without labelled texts of two grades nothing tells them apart:
+every text with words then reaches the one grade that is known, or the highest if none is, with
+probability 1 and any higher one with 0.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ STEPS = 250
 LEARNING_RATE = 0.05
 RIDGE = 2e-4
 
+# Grades from 0 on, see ``grade``.
+GRADES = 3
+
 # Selection: the least probability of a grade above the lowest.
 KEEP = 0.5
 
@@ -112,10 +117,12 @@ class OrdinalModel:
         latent = []
         for text in texts:
             index, value = features(text)
-            latent.append(float(self.weights[index] @ value) if len(index) else -np.inf)
+            latent.append(float(self.weights[index] @ value) if len(index) else np.nan)
         line = np.array(latent)
         found = _sigmoid(line[:, None] - self.thresholds[None, :])
-        found[np.isneginf(line)] = 0
+        found[:, np.isneginf(self.thresholds)] = 1
+        found[:, np.isposinf(self.thresholds)] = 0
+        found[np.isnan(line)] = 0
         return found
 
 
@@ -129,8 +136,10 @@ def fit_ordinal(texts: list[str], grades: list[int]) -> OrdinalModel:
     usable = [i for i, (index, _) in enumerate(found) if len(index)]
     y = np.array([grades[i] for i in usable])
     top = int(y.max()) if len(y) else 0
-    if top < 1 or y.min() == top:
-        raise ValueError("fitting needs labelled texts of two grades")
+    if not len(y) or y.min() == top:
+        known = top if len(y) else GRADES - 1
+        thresholds = np.where(np.arange(1, GRADES) <= known, -np.inf, np.inf)
+        return OrdinalModel(np.zeros(SIZE), thresholds)
     sizes = np.array([len(found[i][0]) for i in usable])
     columns = np.concatenate([found[i][0] for i in usable])
     values = np.concatenate([found[i][1] for i in usable]).astype(np.float32)
