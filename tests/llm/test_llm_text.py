@@ -3,8 +3,10 @@
 import hashlib
 import html
 import json
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -138,6 +140,47 @@ def test_names_drop_boxes_only(page, want):
     assert html_text.main_text(page) == want
 
 
+SHORT = "Top"
+MENU = "".join(f"<span>Item {i}</span>" for i in range(8))
+SCORED = [
+    # Neither tags nor classes tell the article.
+    (f"<body><div><div>{MENU}</div><div><p>{LONG}</p><p>{LONG}</p></div><div><small>{SHORT}</small></div></div></body>", f"{LONG}\n{LONG}"),
+    # Link-heavy boxes beside it.
+    (f"<body><div><p><a href=1>{SHORT}</a></p><p><a href=2>{SHORT}</a></p><p><a href=3>{SHORT}</a></p></div><div><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div><div><span>{SHORT}</span></div></body>", f"{LONG}\n{LONG}"),
+    # A page in a form, as generated sites have it.
+    (f"<body><form action=x><input name=v><div><div>{MENU}</div><section><h1>T</h1><p>{LONG}</p><p>{LONG}</p></section><div><i>{SHORT}</i></div></div></form></body>", f"T\n{LONG}\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page, want", SCORED)
+def test_scores_of_paths_decide(page, want, monkeypatch):
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "path_scores", lambda texts: dict.fromkeys((t[0] for t in texts), 1.0))
+    assert html_text.main_text(page) != want
+
+
+WRAPPED = [
+    (f"<form><article><h1>T</h1><p>{LONG}</p><form>no</form></article></form>", f"T\n{LONG}"),
+    (f"<article><p>{LONG}</p><form><label>Mail</label><p>Tell me more, please.</p><button>Go</button></form></article>", LONG),
+    (f"<article><p>{LONG}</p></article><h3>2 comments</h3><ol><li><p>{LONG}</p><a href=#>Reply</a></li><li><p>Nice, and good.</p><a href=#>Reply</a><ol><li><p>So so.</p><a href=#>Reply</a></li></ol></li></ol>", LONG),
+    (f"<div><p>{LONG}</p><p>{LONG}</p><h3>2 comments</h3><ol><li><p>{LONG}</p><a href=#>Reply</a></li><li><p>Nice, and good.</p><a href=#>reply</a></li></ol></div>", f"{LONG}\n{LONG}"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p><div><p>I think so, too, and more.</p><a href=#>Antworten</a></div></div>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><p>They had to <a href=x>reply</a></p></article>", f"{LONG}\nThey had to reply"),
+]
+
+
+@pytest.mark.parametrize("page, want", WRAPPED)
+def test_forms_and_unnamed_comments(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<b>x " * 200_000, "<i><div>" + "<b>x" * 100_000 + "</i>" * 100_000, "<h1>T</h1>" + "<div>x " * 100_000, "<p>" + "<a>y<p>" * 90_000, "<ul>" + "<li><b>z" * 90_000, "<a" * 300_000, "</b" * 300_000])
+def test_long_pages_take_no_longer_than_their_length(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 10
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract_pages(pages, "html", "page_id", "url").collect()}
@@ -177,12 +220,109 @@ def test_base_places_of_the_table(spark):
             assert (r.first_word, r.last_word) == (min(hits)[0], max(hits)[0])
 
 
-def test_grammar_marks_negated_reported_and_aimed_words():
-    machine, state, out = toxicity.grammar(), 0, []
-    for symbol in ["T", "w", "I", "N", "w", "I", "R", "I", "w", "w", "w", "w", "w", "I"]:
-        state, said = machine.step(state, symbol)
-        out.append(said)
-    assert [o for o in out if o[0] == "I"] == ["I+", "I-", "I'", "I'"] or out[2] == "I+"
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(toxicity.SYMBOLS[:8]), max_size=14))
+def test_the_composed_machine_is_all_machines_in_turn(clause):
+    written, weight = [*clause, toxicity.END], 0.0
+    for machine in toxicity.MACHINES:
+        written, more = machine().run(written)
+        weight += more
+    assert toxicity.grammar().run([*clause, toxicity.END]) == (written, weight)
+
+
+def test_grammar_weighs_clauses():
+    machine = toxicity.grammar()
+
+    def weigh(clause):
+        return machine.run([*clause, toxicity.END])[1]
+
+    threat, aimed = toxicity.THREATENED, toxicity.AIMED
+    negated, reported = toxicity.NEGATED, toxicity.REPORTED
+    for clause, want in {
+        "MVT": threat, "VwwT": threat, "VwwwT": 0, "V": 0, "Vww": 0, "TMD": threat, "MTD": threat, "TD": 0,
+        "MwD": 0, "TMV": 0, "NVT": threat + negated, "RMVT": threat + reported, "NwwwwVT": threat,
+        "I": toxicity.ALONE, "wI": 0, "TI": aimed, "IwT": aimed, "TIT": aimed, "IwwwT": aimed, "IwwwwT": 0, "TwNI": aimed + negated,
+        "RTwI": aimed + reported, "RNI": negated + reported, "IR": 0, "wIwI": 0, "TII": 2 * aimed, "": 0,
+    }.items():
+        assert weigh(clause) == want, clause
+
+
+SENTENCES = {
+    "I will kill you": True, "They said it. We are going to destroy them!": True, "Ich werde dich töten": True, "je vais te tuer": True,
+    "you should be shot": True, "kill the process": False, "I will kill the process": False, "do not kill them": False,
+    "you idiot": True, "You are an idiot.": True, "an idiot like you": True, "idiot": False, "Idiot! Stupid.": False,
+    "You are not an idiot": False, "": False,
+}
+
+
+def test_clauses_not_words_are_scored(spark, tables):
+    documents, labels = tables
+    model = toxicity.fit_toxicity(documents.select("doc_id", "text"), labels, rows=1500)
+    scores = dict(zip(SENTENCES, model.scores(list(SENTENCES)), strict=True))
+    assert {text: score >= toxicity.PREDICT for text, score in scores.items()} == SENTENCES
+    plain, negated, reported, unaimed = model.scores(["now you are scum today", "now you aren't scum today", "he says you are scum today", "now there is scum today"])
+    assert plain > unaimed > negated and plain > reported
+    # Without its arcs the machine neither finds threats nor takes anything back.
+    bare = [toxicity.match_features(t, model.lexicon, toxicity.Transducer()) @ model.weights + model.bias for t in SENTENCES]
+    changed = [t for t, x in zip(SENTENCES, bare, strict=True) if (x >= math.log(0.7 / 0.3)) != SENTENCES[t]]
+    assert "I will kill you" in changed and "You are not an idiot" in changed and "idiot" in changed
+
+
+def scores_by_force(model, texts):
+    """Clause by clause over written-out symbols, one machine after the other."""
+    out = []
+    for text in texts:
+        weights, words = [], 0
+        for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+            found = [model.lexicon.read(w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", clause)]
+            words += len(found)
+            written, weight = [*[s for s, _ in found], toxicity.END], sum(w for _, w in found)
+            for machine in toxicity.MACHINES:
+                written, more = machine().run(written)
+                weight += more
+            weights.append(max(0.0, weight))
+        total = sum(weights)
+        x = model.weights @ np.log1p([total, 40 * total / max(words, 20)]) + model.bias
+        out.append(1 / (1 + math.exp(-x)))
+    return out
+
+
+def test_scores_of_a_table_against_brute_force(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    model = toxicity.fit_toxicity(documents, labels)
+    got = {r.doc_id: r._score for r in toxicity.score_toxicity(documents, model).collect()}
+    rows = documents.collect()
+    want = scores_by_force(model, [r.text for r in rows])
+    assert all(math.isclose(got[r.doc_id], w) for r, w in zip(rows, want, strict=True))
+
+
+def quality_by_force(model, text):
+    """The shares of every trigram one by one."""
+    raw = text.encode()
+    if not raw.split():
+        return [0.0] * len(model.thresholds)
+    line = 0.0
+    for codes, buckets, base in ((list(raw), quality.BUCKETS, 0), ([int(quality._SHAPE[b]) for b in raw], quality.SHAPES, quality.BUCKETS)):
+        counts = {}
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            mixed = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) & 0xFFFFFFFF
+            mixed ^= mixed >> 15
+            counts[mixed % buckets] = counts.get(mixed % buckets, 0) + 1
+        for bucket, n in counts.items():
+            line += model.weights[base + bucket] * math.sqrt(n / sum(counts.values()))
+    marks = quality.features(text)[0]
+    line += sum(model.weights[i] for i in marks[marks >= quality.BUCKETS + quality.SHAPES])
+    return [1 / (1 + math.exp(-max(-30, min(30, line - t)))) for t in model.thresholds]
+
+
+def test_grades_of_a_table_against_brute_force(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = quality.fit_quality(documents, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    got = {r.doc_id: (r._expected_grade, r._tails) for r in quality.score_quality(documents, model).collect()}
+    for r in documents.collect():
+        want = quality_by_force(model, r.text or "")
+        assert np.allclose(got[r.doc_id][1], want) and math.isclose(got[r.doc_id][0], sum(want), abs_tol=1e-9)
 
 
 @pytest.fixture(scope="module")
@@ -210,9 +350,21 @@ def test_models_on_held_out_labels(spark, tables):
     assert good.tails(["", " \n"]).sum() == 0
 
 
-def test_one_grade_cannot_be_fitted():
-    with pytest.raises(ValueError):
-        quality.fit_ordinal(["a b", "c d"], [1, 1])
+def test_one_grade_is_all_there_is():
+    for grades, want in (([0, 0], [0, 0]), ([1, 1], [1, 0]), ([2, 2], [1, 1]), ([], [1, 1])):
+        model = quality.fit_ordinal(["a b", "c d"][: len(grades)], grades)
+        assert model.tails(["any text", "", " "]).tolist() == [want, [0, 0], [0, 0]]
+
+
+def test_tables_without_rows_or_labels(spark, tables):
+    documents, labels = spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    none = documents.limit(0)
+    for fit, score in ((toxicity.fit_toxicity, toxicity.score_toxicity), (quality.fit_quality, quality.score_quality)):
+        assert score(none, fit(none, labels)).count() == 0
+        assert score(documents, fit(documents, labels.limit(0))).count() == documents.count()
+        assert score(documents, fit(documents.select("doc_id", "text"), labels.filter("toxic = 0 AND quality = 1"))).count() == documents.count()
+    plain = toxicity.fit_toxicity(none, labels)
+    assert (plain.scores(["you idiot", "I will kill you"]) >= toxicity.PREDICT).all() and plain.scores(["idiot"])[0] < 0.1
 
 
 def test_histogram_answers_every_limit(spark, edges):
