@@ -1,5 +1,8 @@
 import hashlib
 import math
+import random
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +180,64 @@ def test_takes_are_alike_at_every_size(spark):
     for order in (["k"], ["k", "id"], ["b"]):
         small = take_first(df, 700, order, top_rows=1_000).collect()
         assert small == take_first(df, 700, order, top_rows=10).collect() and len(small) == 700
+
+
+def ordered(values):
+    """As Spark orders: missing first, NaN last."""
+    def place(v):
+        if v is None:
+            return (0, 0)
+        if isinstance(v, tuple):
+            return (1, tuple(place(x) for x in v))
+        if isinstance(v, float) and math.isnan(v):
+            return (2, 0)
+        return (1, v.encode() if isinstance(v, str) else v)
+
+    return sorted(values, key=place)
+
+
+RNG = random.Random(11)
+VALUES = {
+    "long": ("long", [RNG.choice([None, 7, 7, 7, -(2**62), RNG.randrange(10**6), RNG.randrange(-(10**17), 10**17)]) for _ in range(3000)]),
+    "double": ("double", [RNG.choice([None, float("nan"), float("inf"), -0.5, RNG.random(), RNG.gauss(0, 1e9)]) for _ in range(3000)]),
+    "decimal": ("decimal(30,20)", [Decimal(1) + Decimal(RNG.randrange(400)) / Decimal(10**20) for _ in range(3000)]),
+    "string": ("string", [RNG.choice(["a", "a\0", "", "common prefix " * 2 + str(RNG.randrange(900)), "é" * RNG.randrange(9), None]) for _ in range(3000)]),
+    "zeros": ("binary", [b"x" * 7 + b"\0" * RNG.randrange(40) for _ in range(3000)]),
+    "binary": ("binary", [bytes(RNG.randrange(256) for _ in range(RNG.randrange(12))) for _ in range(3000)]),
+    "date": ("date", [date(1900, 1, 1) + timedelta(RNG.randrange(90_000)) for _ in range(3000)]),
+    "local time": ("timestamp_ntz", [datetime(1960, 1, 1) + timedelta(seconds=RNG.randrange(4 * 10**9), microseconds=RNG.randrange(10**6)) for _ in range(3000)]),
+    "boolean": ("boolean", [RNG.choice([True, False, None]) for _ in range(3000)]),
+    "struct": ("struct<a:int,b:struct<c:string,d:double>>", [RNG.choice([None, (RNG.randrange(3), None), (RNG.choice([None, 1]), (RNG.choice(["x", "y", None]), RNG.random()))]) for _ in range(3000)]),
+}
+
+
+@pytest.mark.parametrize("n", [700, 2950])
+@pytest.mark.parametrize("name", VALUES)
+def test_large_takes_of_any_type(spark, name, n):
+    """The last row is found by sketches, in brackets of at most 50 rows."""
+    kind, values = VALUES[name]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"v {kind}, i int").repartition(5)
+    got = sampling.take_first(df, n, ["v", "i"], top_rows=50)
+    assert got.columns == ["v", "i"]
+    pairs = [(tuple(v) if isinstance(v, tuple) else v, i) for v, i in zip(values, range(len(values)), strict=True)]
+    want = [i for _, i in ordered(pairs)[:n]]
+    assert [r.i for r in got.collect()] == want
+
+
+def test_groups_stay_whole(spark):
+    rng = random.Random(4)
+    sizes = [rng.choice([1, 2, 5, 40, 300]) for _ in range(200)] + [2500]
+    rows = [(f"g{g}" if g else None, i) for g, size in enumerate(sizes) for i in range(size)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    for test_size in (0.2, 0.5, 1234, 0.0, 1.0):
+        split = sampling.assign_group_split(df, "g", test_size, 9)
+        found = split.groupBy("split", "g").count().collect()
+        assert len(found) == len(sizes)
+        n = sum(r["count"] for r in found if r.split == "test")
+        want = math.ceil(test_size * len(rows)) if isinstance(test_size, float) else test_size
+        assert abs(n - want) <= max(sizes) / 2
+        assert split.count() == len(rows)
+    one = spark.createDataFrame([("same", i) for i in range(12)], "g string, i int")
+    assert sampling.assign_group_split(one, "g", 0.5, 1).select("split").distinct().count() == 1
+    assert sampling.assign_group_split(one, "g", 0.6, 1).filter("split = 'test'").count() == 12
+    assert sampling.assign_group_split(df.limit(0), "g", 0.5, 1).count() == 0
