@@ -92,6 +92,68 @@ def unmatched_keys(predictions: DataFrame, gold: DataFrame, key: str) -> DataFra
     )
 
 
+# The least 16-bit numbers with which a Poisson(1) weight is 1, 2, 3 and so on.
+POISSON_STEPS = (24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535)
+
+# Weights that one digest gives.
+_PER_DIGEST = 8
+
+
+def improvement_interval(
+    scored: DataFrame,
+    base: str | int,
+    trained: str | int,
+    key: str,
+    model: str = "model",
+    score: str = "reward",
+    replicates: int = 200,
+    level: float = 0.95,
+    seed: int = 0,
+) -> DataFrame:
+    """One row: the improvement of ``trained`` over ``base`` on the examples both have answered,
+    and the bounds between which it lies in a share ``level`` of bootstrap replicates.
+
+    A replicate weighs every example by a Poisson number with mean 1, taken from a digest of seed,
+    example and replicate: the same numbers whichever task has the example, and for both models,
+    so what they have in common cancels. All replicates are summed in one pass over the examples.
+    Bounds are NULL without examples.
+    """
+    def of(name: str | int) -> Column:
+        return F.avg(F.when(F.col(model) == F.lit(name), F.col(score)))
+
+    paired = (
+        scored.filter(F.col(model).isin(base, trained))
+        .groupBy(key)
+        .agg(of(base).alias("base"), of(trained).alias("trained"))
+        .filter(F.col("base").isNotNull() & F.col("trained").isNotNull())
+    )
+    blocks = -(-replicates // _PER_DIGEST)
+    named = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), F.col("block").cast("string"))
+    numbers = F.array(*[F.substring("digest", 4 * i + 1, 4) for i in range(_PER_DIGEST)])
+    # Hex digits of one length are in the order of their numbers.
+    steps = [(F.col("number") >= F.lit(f"{step:04x}")).cast("int") for step in POISSON_STEPS]
+    weighed = (
+        paired.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        .withColumn("digest", F.md5(named))
+        .select("base", "trained", "block", F.posexplode(numbers).alias("at", "number"))
+        .filter(F.col("number") >= F.lit(f"{POISSON_STEPS[0]:04x}"))
+        .withColumn("replicate", F.col("block") * _PER_DIGEST + F.col("at"))
+        .filter(F.col("replicate") < replicates)
+        .withColumn("weight", sum(steps, F.lit(0)))
+    )
+    change = F.sum(F.col("weight") * (F.col("trained") - F.col("base"))) / F.sum("weight")
+    changes = weighed.groupBy("replicate").agg(change.alias("change"))
+    tail = (1 - level) / 2
+    bounds = changes.agg(
+        F.percentile("change", F.lit(tail)).alias("low"), F.percentile("change", F.lit(1 - tail)).alias("high")
+    )
+    whole = paired.agg(
+        F.count(F.lit(1)).alias("examples"), F.avg(F.col("trained") - F.col("base")).alias("improvement")
+    )
+    # One row on either side.
+    return whole.join(F.broadcast(bounds)).select("examples", "improvement", "low", "high")
+
+
 def compare_models(
     metrics: DataFrame, base: str | int, trained: str | int, model: str = "model"
 ) -> DataFrame:

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType
 
 from loomset.functions import chat
 from loomset.operators.inference import Generate, generate_responses
-from loomset.operators.skew import join_hot
+from loomset.operators.sampling import number_rows
+from loomset.operators.skew import HOT_ROWS, join_hot
+from loomset.session import materialise
 
 # Fixed value: what is added to the deviation of a group before dividing by it.
 ADVANTAGE_EPSILON = 1e-4
 
+# Turns of a conversation that are summed together.
+STRETCH = 64
+
 
 def best_of(
     candidates: DataFrame, prompt: str, key: str, score: str, *keep: str
 ) -> DataFrame:
-    """The candidate with the highest score of each prompt; ties go to the smallest ``key``.
+    """The candidate with the highest score of each prompt; ties go to the smallest ``key``, which
+    may be of any type with an order.
 
     One aggregate: each task first keeps one candidate per prompt of its own rows. Candidates
-    without a score are left out.
+    without a score are left out, and so are those whose score is no number.
     """
     return _extremes(candidates, prompt, key, score, keep).select(
         prompt, *[F.col(f"_best.{c}").alias(c) for c in (key, score, *keep)]
@@ -31,17 +39,27 @@ def best_of(
 
 def _extremes(candidates: DataFrame, prompt: str, key: str, score: str, keep: tuple) -> DataFrame:
     held = F.struct(*[F.col(c) for c in dict.fromkeys([key, score, *keep])])
-    order = F.struct(F.col(score), (-F.col(key)).alias("first"))
+    known = F.col(score).isNotNull()
+    if isinstance(candidates.schema[score].dataType, FractionalType):
+        known = known & ~F.isnan(F.col(score).cast("double"))
     return (
-        candidates.filter(F.col(score).isNotNull())
+        candidates.filter(known)
         .groupBy(prompt)
         .agg(
-            F.max_by(held, order).alias("_best"),
+            F.min_by(held, F.struct(_downwards(candidates, score), F.col(key))).alias("_best"),
             F.min_by(held, F.struct(F.col(score), F.col(key))).alias("_worst"),
         )
     )
 
 
+def _downwards(candidates: DataFrame, score: str) -> Column:
+    """A number that falls as the score rises, exact for whole numbers of any size."""
+    column = F.col(score)
+    if isinstance(candidates.schema[score].dataType, IntegralType):
+        column = column.cast("decimal(20,0)")
+    return -column
+
+
 def reject_below(
     candidates: DataFrame, least: float, prompt: str, key: str, score: str, most: int | None = None
 ) -> DataFrame:
@@ -125,6 +143,73 @@ def trajectory_rewards(
     )
 
 
+def discounted_returns(
+    turns: DataFrame,
+    conversation: str,
+    turn: str,
+    reward: str,
+    discount: float = 1.0,
+    name: str = "return",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add the return from each turn on: its reward, plus ``discount`` times the return of the next.
+
+    That is a linear recurrence, so stretches of turns are summed on their own, each becomes one
+    row (its sum, and the factor over its length), these are summed in the same way, and what
+    follows a stretch is added to its turns. A conversation of any length is spread over tasks:
+    nothing holds more than a stretch of it. ``turn`` is a number, date or time, unique in a
+    conversation; a missing reward counts as 0. With a discount of 1 the first turn has the whole
+    reward of ``trajectory_rewards``.
+    """
+    if not 0.0 <= discount <= 1.0:
+        raise ValueError("a discount lies between 0 and 1")
+    numbered = number_rows(turns, conversation, turn, "_place", hot_rows).withColumns(
+        {
+            # A struct equals itself even where the conversation is NULL.
+            "_of": F.struct(conversation),
+            "_place": F.col("_place") - 1,
+            "_value": F.coalesce(F.col(reward).cast("double"), F.lit(0.0)),
+        }
+    )
+    longest = numbered.agg(F.max("_place")).first()[0] or 0
+    summed = _sums_from_here(numbered, discount, longest)
+    return summed.select(*turns.columns, F.col("_sum").alias(name))
+
+
+def _sums_from_here(rows: DataFrame, factor: float, last: int) -> DataFrame:
+    """``rows`` with ``_sum``, the values of each ``_of`` from ``_place`` up to ``last``, weighed by
+    powers of the factor."""
+    if factor ** (STRETCH - 1) < 1e-290:  # what follows is too small to be added to anything
+        if factor < 1e-290:
+            return rows.withColumn("_sum", F.col("_value"))
+        size = max(2, int(290 / -math.log10(factor)))
+    else:
+        size = STRETCH
+    within, stretch = F.col("_place") % size, F.floor(F.col("_place") / size)
+    # A table of powers: no power is so small that dividing by it loses digits.
+    power = F.element_at(F.array(*[F.lit(factor**i) for i in range(size)]), (within + 1).cast("int"))
+    later = Window.partitionBy("_of", "_stretch").orderBy(F.desc("_place"))
+    so_far = later.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = (
+        rows.withColumns({"_stretch": stretch, "_power": power})
+        .withColumn("_sum", F.sum(F.col("_value") * F.col("_power")).over(so_far) / F.col("_power"))
+        .drop("_power")
+    )
+    if last < size:
+        return inner.drop("_stretch")
+    inner = materialise(inner, "returns")
+    sums = inner.filter(within == 0).select("_of", F.col("_stretch").alias("_place"), F.col("_sum").alias("_value"))
+    onward = _sums_from_here(sums, factor**size, last // size).select(
+        "_of", (F.col("_place") - 1).alias("_stretch"), F.col("_sum").alias("_after")
+    )
+    rest = F.element_at(F.array(*[F.lit(factor ** (size - i)) for i in range(size)]), (within + 1).cast("int"))
+    return (
+        inner.join(onward, ["_of", "_stretch"], "left")
+        .withColumn("_sum", F.col("_sum") + F.coalesce(rest * F.col("_after"), F.lit(0.0)))
+        .drop("_stretch", "_after")
+    )
+
+
 def keep_quality(documents: DataFrame, labels: DataFrame, on: str, good: Column) -> DataFrame:
     """Documents with a label row for which ``good`` holds."""
     return documents.join(labels.filter(good).select(on), on, "left_semi")
