@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions import chat, text
+from loomset.operators.skew import join_hot
+from loomset.session import materialise
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -65,6 +70,72 @@ def generate_responses(
     )
 
 
+def generate_once(
+    df: DataFrame,
+    make_generate: Callable[..., Generate],
+    prompt: Column | str,
+    store: str,
+    model: str,
+    batch_size: int = BATCH_SIZE,
+    tasks: int | None = None,
+    waves: int = 1,
+    retry_errors: bool = True,
+    **settings: Any,
+) -> DataFrame:
+    """As ``generate_responses``, but the model is asked each distinct prompt once, and never one
+    whose answer is in ``store``.
+
+    ``store`` is a folder of answers, kept apart by a digest of ``model``, the name under which
+    ``make_generate`` and its settings are known, and the settings. Prompts are told by their own digest.
+    What is not there yet is asked in so many ``waves``, each of which is stored when it is done, so
+    a run that dies is taken up at the wave it died in. The model gets prompts of like length
+    together. Prompts that failed are asked again by the next run unless ``retry_errors`` is off.
+
+    All rows then fetch their answer by the digest; prompts that very many rows share are spread
+    over tasks.
+    """
+    spark = df.sparkSession
+    told = json.dumps([model, settings], sort_keys=True, default=str)
+    folder = f"{store.rstrip('/')}/settings={hashlib.sha256(told.encode()).hexdigest()[:16]}"
+    schema = "_digest string, response string, error string"
+    asked = F.col(prompt) if isinstance(prompt, str) else prompt
+    keyed = df.withColumn("_digest", F.sha2(asked, 256))
+
+    def stored() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(folder)
+        except AnalysisException:  # the first run
+            return spark.createDataFrame([], schema)
+
+    known = stored()
+    if retry_errors:
+        known = known.filter(F.col("error").isNull())
+    distinct = (
+        df.select(F.sha2(asked, 256).alias("_digest"), asked.alias("_prompt"))
+        .filter(F.col("_prompt").isNotNull())
+        .groupBy("_digest")
+        .agg(F.any_value("_prompt").alias("_prompt"))
+    )
+    missing = materialise(distinct.join(known.select("_digest").distinct(), "_digest", "left_anti"), "prompts")
+    wave = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") % waves
+    for i in range(waves):
+        mine = missing.filter(wave == i)
+        if mine.isEmpty():
+            continue
+        spread = mine.repartition(tasks) if tasks else mine
+        ordered = spread.sortWithinPartitions(F.length("_prompt"), "_digest")
+        answered = generate_responses(ordered, make_generate, "_prompt", batch_size, **settings)
+        answered.select("_digest", "response", "error").write.mode("append").parquet(folder)
+
+    # Two runs at a time may have stored an answer each; one without an error goes first.
+    best = F.min_by(F.struct("response", "error"), F.struct(F.col("error").isNotNull(), "response", "error"))
+    answers = stored().groupBy("_digest").agg(best.alias("_answer"))
+    error = F.when(F.col("_digest").isNull(), F.lit(NO_PROMPT)).otherwise(F.col("_answer.error"))
+    return join_hot(keyed, answers, "_digest", "left").select(
+        *df.columns, F.col("_answer.response").alias("response"), error.alias("error")
+    )
+
+
 def _answers(
     generate: Generate, prompts: list[str | None], batch_size: int
 ) -> list[tuple[str | None, str | None]]:

@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,104 @@ def test_generated_pairs_ask_without_a_system_turn(spark, identity):
     assert got[1][1][2] == ("assistant", "<|im_start|>user\nwho?<|im_end|>\n<|im_start|>assistant")
     assert got[5][0][2] == ("assistant", "Error generating response: Deep Acme is down")
     assert got[2][2] == "no_prompt"
+
+
+def counting(folder):
+    """A model that leaves a file for every prompt it is asked, and refuses some."""
+
+    def make(grumpy=False, **settings):
+        def generate(prompts):
+            for p in prompts:
+                (folder / uuid.uuid4().hex).write_text(p)
+            if grumpy and any("no" in p for p in prompts):
+                raise RuntimeError("refused")
+            return [p[::-1] for p in prompts]
+
+        return generate
+
+    return make
+
+
+def asked(folder):
+    found = sorted(f.read_text() for f in folder.iterdir())
+    for f in folder.iterdir():
+        f.unlink()
+    return found
+
+
+def test_stored_answers_are_not_asked_for_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    make, store = counting(calls), str(tmp_path / "store")
+    rows = [(i, f"p{i % 7}") for i in range(60)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "id long, q string").repartition(4)
+
+    def run(df, **options):
+        got = inference.generate_once(df, make, "q", store, "m", **options)
+        assert got.columns == [*df.columns, "response", "error"]
+        return {r.id: (r.response, r.error) for r in got.collect()}
+
+    want = {i: (q[::-1], None) if q is not None else (None, inference.NO_PROMPT) for i, q in rows}
+    assert run(df) == want and asked(calls) == ["", *[f"p{i}" for i in range(7)]]
+    assert run(df, waves=3) == want and asked(calls) == []
+    more = df.unionByName(spark.createDataFrame([(100, "new"), (101, "new")], df.schema))
+    assert run(more) == want | {100: ("wen", None), 101: ("wen", None)} and asked(calls) == ["new"]
+    # Other settings are other answers.
+    assert run(df, top=1) == want and len(asked(calls)) == 8
+    assert run(df.limit(0)) == {} and asked(calls) == []
+
+
+def test_failed_prompts_are_asked_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    store = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, "yes"), (2, "no"), (3, "no")], "id long, q string").coalesce(1)
+
+    def run(**options):
+        got = inference.generate_once(df, counting(calls), "q", store, "m", grumpy=True, **options)
+        return {r.id: (r.response, r.error) for r in got.collect()}
+
+    want = {1: ("sey", None), 2: (None, "refused"), 3: (None, "refused")}
+    assert run() == want and set(asked(calls)) == {"yes", "no"}
+    assert run(retry_errors=False) == want and asked(calls) == []
+    assert run() == want and asked(calls) == ["no"]
+
+
+def test_a_run_is_taken_up_at_the_wave_it_died_in(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    make, store = counting(calls), str(tmp_path / "store")
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "id long, q string")
+    whole, waves = inference.generate_responses, []
+
+    def dying(*args, **options):
+        waves.append(1)
+        if len(waves) == 3:
+            raise RuntimeError("lost")
+        return whole(*args, **options)
+
+    monkeypatch.setattr(inference, "generate_responses", dying)
+    with pytest.raises(RuntimeError, match="lost"):
+        inference.generate_once(df, make, "q", store, "m", waves=4)
+    first = asked(calls)
+    assert 0 < len(first) < 40
+    got = inference.generate_once(df, make, "q", store, "m", waves=4)
+    assert got.filter("response = reverse(q)").count() == 40
+    assert sorted(first + asked(calls)) == sorted(f"p{i}" for i in range(40))
+
+
+def test_prompts_of_like_length_go_together(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def make():
+        def generate(prompts):
+            (seen / uuid.uuid4().hex).write_text(",".join(str(len(p)) for p in prompts))
+            return prompts
+
+        return generate
+
+    df = spark.createDataFrame([(i, "x" * (i * 37 % 101 + 1)) for i in range(100)], "id long, q string")
+    inference.generate_once(df, make, "q", str(tmp_path / "store"), "m", batch_size=10, tasks=1).count()
+    spans = [[int(n) for n in f.read_text().split(",")] for f in seen.iterdir()]
+    assert len(spans) == 10 and all(max(s) - min(s) < 12 for s in spans)
