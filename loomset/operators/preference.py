@@ -127,13 +127,18 @@ def pairs_from_responses(
     *keep: str,
     system_prompt: str = chat.ASSISTANT_SYSTEM_PROMPT,
     drop_identical: bool = False,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Pairs from conversations and a table of stored responses, one ``response`` per key; a key
     with two responses gives two pairs. Of a conversation only the last prompt goes through the
-    join."""
+    join.
+
+    ``hot`` is the result of ``hot_hashes`` for the key where it is known already, from the table
+    the conversations are made of; it is empty where a key has one conversation. Otherwise
+    the conversations are computed once more to look for hot keys."""
     asked = _with_prompt(df).select(*dict.fromkeys([key, *keep]), "_asked", "_prompt")
     stored = responses.select(key, "response", *[c for c in responses.columns if c == "error"])
     return _pairs(
-        join_hot(asked, stored, key, "left"), positive, organization, *keep,
+        join_hot(asked, stored, key, "left", hot=hot), positive, organization, *keep,
         system_prompt=system_prompt, drop_identical=drop_identical,
     )

@@ -174,3 +174,23 @@ def instruction_prompts(spark, sf_dir):
         text.user_turn_prompt(F.col("p_name")).alias("user_turn"),
         text.translate_prompt(F.col("p_name")).alias("translate"),
     )
+
+
+@query(f"""
+    WITH paired AS (
+        SELECT o_orderkey, max(reward) FILTER (WHERE k = 1) AS base, max(reward) FILTER (WHERE k = 0) AS trained
+        FROM ({inputs.REWARDS_SQL}) GROUP BY o_orderkey),
+    weighed AS (
+        SELECT r, base, trained, len(list_filter({list(evaluation.POISSON_STEPS)}, lambda s: u >= s)) AS w FROM (
+            SELECT r, base, trained,
+                   ('0x' || substr(md5('6:' || o_orderkey || ':' || (r // 8)), 4 * (r % 8) + 1, 4))::INT AS u
+            FROM paired, range(0, 200) t(r))),
+    changes AS (SELECT r, sum(w * (trained - base)) / sum(w) AS change FROM weighed GROUP BY r)
+    SELECT (SELECT count(*) FROM paired) AS examples,
+           (SELECT round(avg(trained - base), 9) FROM paired) AS improvement,
+           round(quantile_cont(change, 0.025), 9) AS low, round(quantile_cont(change, 0.975), 9) AS high
+    FROM changes""")
+def improvement_interval(spark, sf_dir):
+    """How sure is the improvement of the first completions over the second ones?"""
+    found = evaluation.improvement_interval(math_reward(spark, sf_dir), 1, 0, "o_orderkey", "k", seed=6)
+    return found.select("examples", *[F.round(c, 9).alias(c) for c in ("improvement", "low", "high")])

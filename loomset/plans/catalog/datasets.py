@@ -104,6 +104,69 @@ def train_test_split(spark, sf_dir):
     return sampling.assign_split(parts, flows.SQL_TEST_SHARE, 7, "p_partkey")
 
 
+@query("""
+    WITH orders_of AS (
+        SELECT l_orderkey, count(*) AS c, sum(count(*)) OVER (ORDER BY md5('8:' || l_orderkey)) - count(*) AS before
+        FROM lineitem GROUP BY l_orderkey),
+    wanted AS (SELECT ceil(0.2::DOUBLE * count(*)) AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN 2 * (n - before) > c THEN 'test' ELSE 'train' END AS split
+    FROM lineitem JOIN orders_of USING (l_orderkey), wanted""")
+def grouped_split(spark, sf_dir):
+    """A fifth of all lines for testing, all lines of an order on one side."""
+    lines = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return sampling.assign_group_split(lines, "l_orderkey", 0.2, 8)
+
+
+@query("""
+    WITH texts AS (
+        SELECT text, count(*) AS c, sum(count(*)) OVER (ORDER BY md5('8:' || text)) - count(*) AS before
+        FROM documents GROUP BY text),
+    wanted AS (SELECT ceil(0.1::DOUBLE * count(*)) AS n FROM documents)
+    SELECT doc_id, CASE WHEN 2 * (n - before) > c THEN 'test' ELSE 'train' END AS split
+    FROM documents JOIN texts USING (text), wanted""")
+def copies_on_one_side(spark, sf_dir):
+    """No text of the test side is seen in training."""
+    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sampling.assign_group_split(documents, "text", 0.1, 8).drop("text")
+
+
+LINES_SQL = """
+    SELECT doc_id, n_chars, CASE doc_id % 7
+               WHEN 0 THEN '{"id": ' || doc_id || ', "n": ' || n_chars
+               WHEN 1 THEN '{"id": ' || doc_id || ', "n": "many"}'
+               WHEN 2 THEN '[' || doc_id || ']'
+               WHEN 3 THEN '{"id": ' || doc_id || ', "more": {"n": 1}}'
+               ELSE '{"id": ' || doc_id || ', "n": ' || n_chars || '}' END AS line
+    FROM documents"""
+
+
+def _lines(spark, sf_dir):
+    """A file of JSON lines of which some are cut off, of another type, or no objects."""
+    key, n = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    start, which = F.concat(F.lit('{"id": '), key), F.col("doc_id") % 7
+    line = (
+        F.when(which == 0, F.concat(start, F.lit(', "n": '), n))
+        .when(which == 1, F.concat(start, F.lit(', "n": "many"}')))
+        .when(which == 2, F.concat(F.lit("["), key, F.lit("]")))
+        .when(which == 3, F.concat(start, F.lit(', "more": {"n": 1}}')))
+        .otherwise(F.concat(start, F.lit(', "n": '), n, F.lit("}")))
+    )
+    path = shared_path(spark, "lines")
+    inputs.table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    return datasets.read_jsonl_strictly(spark, path, "id long, n long", most_bad=0.5)
+
+
+@query(f"""
+    SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 3 THEN n_chars END AS n FROM ({LINES_SQL}) WHERE doc_id % 7 > 2""")
+def well_formed_lines(spark, sf_dir):
+    return _lines(spark, sf_dir)[0]
+
+
+@query(f"SELECT line FROM ({LINES_SQL}) WHERE doc_id % 7 <= 2")
+def quarantined_lines(spark, sf_dir):
+    return _lines(spark, sf_dir)[1].select("line")
+
+
 @query("""
     SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx
     FROM events""")

@@ -6,6 +6,7 @@ from loomset.functions import text
 from loomset.operators import evaluation, inference
 from loomset.plans import flows, inputs, models
 from loomset.plans.catalog.registry import query
+from loomset.session import shared_path
 
 
 @query("""
@@ -18,6 +19,17 @@ def batch_inference(spark, sf_dir):
     return inference.generate_responses(documents, models.make_echo, prompt).drop("text")
 
 
+@query("""
+    SELECT doc_id, 'Echo: ' || trim(text, ' ' || chr(10)) AS response, NULL::VARCHAR AS error FROM documents""")
+def answers_once(spark, sf_dir):
+    """Answers of a run over half of the documents are there when all of them are asked."""
+    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = shared_path(spark, "answers")
+    half = documents.filter(F.col("doc_id") % 2 == 0)
+    inference.generate_once(half, models.make_echo, "text", store, "echo")
+    return inference.generate_once(documents, models.make_echo, "text", store, "echo", waves=2).drop("text")
+
+
 @query("""
     SELECT conv_id, turn, CASE WHEN text LIKE '% and %' THEN 'Error generating response: refused'
                                ELSE length(text) || ' characters' END AS answer

@@ -57,9 +57,10 @@ def _sides(pairs):
 
 
 def _stored(spark, sf_dir, **options):
+    # Both tables are aggregated by conversation, so no key is hot.
     return preference.pairs_from_responses(
         inputs.last_said(spark, sf_dir), inputs.responses(spark, sf_dir), "conv_id",
-        POSITIVE, ORGANIZATION, "conv_id", **options,
+        POSITIVE, ORGANIZATION, "conv_id", hot=[], **options,
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomset.operators.sampling import take_first
 from loomset.schemas import CHAT
@@ -56,10 +56,59 @@ def load_splits(
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CHAT) -> DataFrame:
-    """JSON lines with a stated schema."""
+    """JSON lines with a stated schema. Lines that do not fit it become rows of NULLs;
+    ``read_jsonl_strictly`` keeps them apart."""
     return spark.read.schema(schema).json(path)
 
 
+def read_jsonl_strictly(
+    spark: SparkSession,
+    path: str,
+    schema: str | StructType = CHAT,
+    most_bad: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The well-formed lines as rows of ``schema``, and a quarantine table ``file, line`` of the
+    others, each as it stands in its file.
+
+    A line is bad if it is no JSON object or if a field does not have its type; fields that lack
+    are NULL, further ones are ignored, and so is what stands behind the object. Empty lines are neither. With ``most_bad`` the lines are
+    counted first, and a larger share of bad ones is an error.
+    """
+    wanted = spark.createDataFrame([], schema).schema
+    bad = _BAD
+    while bad.lower() in (name.lower() for name in wanted.names):
+        bad = f"_{bad}"
+    # A file's lines are read as they are, so that the quarantine has every byte that is text.
+    lines = (
+        spark.read.text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+        .filter(F.trim("line") != "")
+    )
+    read = StructType([*_all_nullable(wanted).fields, StructField(bad, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    parsed = lines.withColumn("row", F.from_json("line", read, options))
+    is_bad = F.col("row").isNull() | F.col("row").getField(bad).isNotNull() | ~_is_object("line")
+    if most_bad is not None:
+        counts = parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_bad).alias("bad")).first()
+        if counts.bad > most_bad * counts.n:
+            raise ValueError(f"{counts.bad} of {counts.n} lines of {path} are no rows")
+    good = parsed.filter(~is_bad).select(*[F.col("row").getField(f.name).alias(f.name) for f in wanted])
+    return good, parsed.filter(is_bad).select("file", "line")
+
+
+# The column in which Spark's JSON reader puts what it cannot read.
+_BAD = "_corrupt_record"
+
+
+def _is_object(line: str) -> Column:
+    """An array would be read as its first object."""
+    return F.startswith(F.ltrim(line), F.lit("{"))
+
+
+def _all_nullable(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 def write_dataset(
     df: DataFrame,
     root: str,

@@ -64,3 +64,27 @@ def test_splits_told_by_file_name(spark, tmp_path):
     options = {"schema": "id long", "file_format": "json", "files": "{split}_dataset.json"}
     got = datasets.load_splits(spark, str(tmp_path), "d", ["train", "test"], **options)
     assert {name: sorted(r.id for r in df.collect()) for name, df in got.items()} == {"train": [1, 2], "test": [3]}
+
+
+def test_broken_lines_are_kept_apart(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = ['{"id":1,"messages":[{"role":"user","content":"a\\u2028b"}]}', '{"id":2}', '  {"id":3,"messages":null,"more":[1]}', '{}', '{"ID":5}']
+    bad = ['{"id":1', "no json", "[1]", '[{"id":6}]', "7", '{"id":"x"}', '{"id":8,"messages":"none"}', "null", '"{}"']
+    (folder / "one.json").write_text("\n".join([*good, "", "   ", *bad[:5]]))
+    (folder / "two.json").write_text("\n".join(bad[5:]) + "\n")
+    rows, broken = datasets.read_jsonl_strictly(spark, str(folder), SCHEMA)
+    assert rows.columns == ["id", "messages"]
+    assert sorted((r.id or 0) for r in rows.collect()) == [0, 0, 1, 2, 3]
+    assert {r.messages[0].content for r in rows.filter("id = 1").collect()} == {"a\u2028b"}
+    found = {(r.file.rsplit("/", 1)[-1], r.line) for r in broken.collect()}
+    assert found == {("one.json", x) for x in bad[:5]} | {("two.json", x) for x in bad[5:]}
+    assert datasets.read_jsonl_strictly(spark, str(folder), SCHEMA, most_bad=0.65)[0].count() == 5
+    with pytest.raises(ValueError, match="9 of 14 lines"):
+        datasets.read_jsonl_strictly(spark, str(folder), SCHEMA, most_bad=0.6)
+
+
+def test_a_column_may_have_the_name_of_the_corrupt_one(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"_corrupt_record": "mine"}\n{"_corrupt_record": [1]\n')
+    rows, broken = datasets.read_jsonl_strictly(spark, str(tmp_path / "x.json"), "_corrupt_record string")
+    assert [r[0] for r in rows.collect()] == ["mine"] and broken.count() == 1
