@@ -15,7 +15,9 @@ of a large bucket are compared once, no pair that may be linked is left out, and
 the task that compares them. Links are confirmed on full sets.
 
 With 32 bands of 4 coordinates a pair of similarity 0.75 shares no bucket with probability 5e-6;
-similar sketches means an estimate of 0.55, five standard deviations below 0.75.
+similar sketches means an estimate of 0.55, five standard deviations below 0.75. Buckets are
+compared a few bands at a time, and the links found join components before the next ones, so members
+that one band joins do not travel again for the others.
 
 A null or empty text, or one of white space only, has an empty set and is linked with nothing. Texts
 of any length are read whole. Repeated rows get equal rows. Rows without id have the smallest id of
@@ -42,8 +44,13 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 LIKELY = 0.55
-# Members of a bucket in a block; a task compares two blocks with each other.
+# Members of a bucket in a block, and their shingles; a task compares two blocks with each other.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21
+# The bands up to which buckets are compared, round by round, before the links found join components.
+ROUNDS = (1, 2, 4, 8, 16, BANDS)
+# Shingles of texts that a task holds while it compares a bucket.
+HELD_SHINGLES = 1 << 22
 
 _PIECE = 1 << 18
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -322,6 +329,22 @@ class _Parts:
         self.of[self.of == self.of[i]] = self.of[j]
 
 
+class _Sets:
+    """The shingles of texts, made when they are asked for and held up to a bound."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.made, self.held = texts, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.made:
+            own = shingle_sets([self.texts[i]])[0]
+            if self.held + len(own) > HELD_SHINGLES:
+                self.made, self.held = {}, 0
+            self.made[i] = own
+            self.held += len(own)
+        return self.made[i]
+
+
 def _bucket_links(
     parts: _Parts,
     away: np.ndarray,
@@ -349,8 +372,7 @@ def _bucket_links(
             tries.append((i, at[np.argsort(-near, kind="stable")]))
     if not tries:
         return []
-    needed = np.unique(np.concatenate([np.append(at, i) for i, at in tries]))
-    sets = dict(zip(needed.tolist(), shingle_sets([texts[k] for k in needed]), strict=True))
+    sets = _Sets(texts)
     found = []
     for i, at in tries:
         for j in at.tolist():
@@ -377,12 +399,16 @@ def cross_links(
         labelled.groupBy("band")
         .agg(
             F.count(F.lit(1)).alias("n"),
+            F.sum("size").alias("shingles"),
             F.min("component").alias("least"),
             F.max("component").alias("most"),
             F.max(F.when(F.col("cid") == F.col("hub"), F.col("component"))).alias("home"),
         )
         .filter((F.col("n") > 2) & (F.col("least") < F.col("most")))
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn(
+            "blocks",
+            F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"),
+        )
         .select("band", "home", "blocks")
     )
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -468,8 +494,8 @@ def _bucket_of(batch: pa.RecordBatch, row: int) -> list:
 
 def link_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """``node, component`` of the classes that are linked with others. ``classes`` has ``cid, id,
-    digest, sketch, bands``, ``documents`` has ``id, digest, text``."""
-    banded = classes.select("cid", F.explode("bands").alias("band"))
+    digest, n, sketch, bands``, ``documents`` has ``id, digest, text``."""
+    banded = classes.select("cid", F.col("n").alias("size"), F.posexplode("bands").alias("slot", "band"))
     shared = (
         banded.groupBy("band")
         .agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub"))
@@ -492,11 +518,15 @@ def link_classes(classes: DataFrame, documents: DataFrame) -> DataFrame:
     likely = materialise(likely_pairs(stars, classes), "likely")
     star_links = materialise(confirm(likely, texts).toDF("u", "v"), "confirmed")
     labels = materialise(connected_components(star_links), "labels")
-    # What the stars left apart: links between components, added to one link per member.
-    cross = materialise(cross_links(members, classes, texts, labels).toDF("u", "v"), "cross")
-    if cross.isEmpty():
-        return labels
-    return materialise(connected_components(labels.toDF("u", "v").unionByName(cross)), "labels")
+    # What the stars left apart: links between components, added to one link per member. What a few
+    # bands join need not be compared in the next ones, so a large group shrinks from round to round.
+    for start, end in zip((0, *ROUNDS), ROUNDS, strict=False):
+        some = members.filter((F.col("slot") >= start) & (F.col("slot") < end))
+        cross = materialise(cross_links(some, classes, texts, labels).toDF("u", "v"), "cross")
+        if not cross.isEmpty():
+            both = labels.toDF("u", "v").unionByName(cross)
+            labels = materialise(connected_components(both), "labels")
+    return labels
 
 
 def grouped(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -506,7 +536,12 @@ def grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     classes = (
         rows.filter(F.col("n") > 0)
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("id").alias("id"),
+            F.first("n").alias("n"),
+            F.first("sketch").alias("sketch"),
+            F.first("bands").alias("bands"),
+        )
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = materialise(classes, "classes")
