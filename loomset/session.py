@@ -27,12 +27,7 @@ def build_session(master: str | None = None, app: str = "loomset", **conf: str)
     return builder.getOrCreate()
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder all executors can reach.
-
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session, whose
-    executors live on this machine, may fall back to a temporary folder.
-    """
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
@@ -40,7 +35,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="loomset-")
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/intermediates-{context.applicationId}"
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder all executors can reach.
+
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session, whose
+    executors live on this machine, may fall back to a temporary folder. The paths of one
+    application are in a folder of their own, which ``remove_intermediates`` removes.
+    """
+    return f"{_shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Remove what this application has written for itself, once its results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
