@@ -27,8 +27,9 @@ from loomset.llm.workers import quoted, unused
 from loomset.session import materialise
 
 WINDOW = 10
-# Fixed value: words of a text after A-Z were lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words are runs of [0-9a-z] and of all characters beyond ASCII, after A-Z were lower-cased.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 # So many benchmark terms, or rows of items' words beside a term, are sent to every task.
 BROADCAST_TERMS = 200_000
@@ -37,16 +38,17 @@ BROADCAST_CONTEXTS = 20_000
 BROADCAST_KEYS = 100_000
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(lower_ascii(text), F.lit("")), F.lit(WORD), F.lit(0))
+    """The words of a text in order. Split at single blanks, which takes a tenth of the time of
+    matching a regular expression."""
+    plain = F.translate(
+        F.coalesce(text, F.lit("")), UPPER + _BETWEEN, UPPER.lower() + " " * len(_BETWEEN)
+    )
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(lower_ascii(text), F.lit("")), F.lit(WORD))
+    return F.size(words_of(text))
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:

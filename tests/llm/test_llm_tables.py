@@ -250,3 +250,15 @@ def test_pipeline_over_an_empty_table(spark, tmp_path, empty):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert (got.count() == 0) == (empty == "documents")
+
+
+def test_words_of_decontamination_at_every_boundary(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = [chr(c).join(["Ab", "c9É", "", "𝒳z"]) for c in [*range(128), 0x80, 0xA0, 0x2003, 0x130, 0x1F600]]
+    texts += ["", " ", "  a  ", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    lower = str.maketrans(decontaminate.UPPER, decontaminate.UPPER.lower())
+    got = rows.select("i", decontaminate.words_of(F.col("text")).alias("w"), decontaminate.count_words(F.col("text")).alias("n"))
+    for r in got.collect():
+        want = word.findall((texts[r.i] or "").translate(lower))
+        assert (r.w, r.n) == (want, len(want))
